@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import language_id, lm_scoring, sentencepiece_viterbi
+from rasterloom.llm import chat_format, language_id, lm_scoring, mixing, quality_outliers, sentencepiece_viterbi
 from rasterloom.llm.common import table
 
 #: A public SentencePiece vocabulary; never copied into the repository.
@@ -28,10 +28,32 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "coverage")
 
 
+def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_outliers.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources mixed to equal weights, as many rows expected as there are."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+#: The fixed conversation that op9 formats besides the table's: control strings in its texts.
+PROBE_ID, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(PROBE_ID).cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"))
+    return chat_format.digest(chat_format.expand(turns.unionByName(probe)))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text again."""
     return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_language_id, op10_sentencepiece)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_language_id, op6_quality_outliers, op7_mixing, op9_chat_format, op10_sentencepiece)}
+ORACLE_SQL: dict[str, str] = {
+    "op9_chat_format": chat_format.DIGEST_SQL.format(probe=PROBE_ID, text=PROBE_TEXT),
+    "op7_mixing": mixing.MIX_SQL.format(docs="documents", columns="doc_id, text, lang, source, n_chars"),
+}
