@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chat_format, language_id, lm_scoring, mixing, quality_outliers, sentencepiece_viterbi
+from rasterloom.llm import chat_format, language_id, lm_scoring, mixing, ngram_join, quality_outliers, sentencepiece_viterbi
 from rasterloom.llm.common import table
 
 #: A public SentencePiece vocabulary; never copied into the repository.
@@ -21,6 +21,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(trains_lang()))
@@ -52,7 +56,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_language_id, op6_quality_outliers, op7_mixing, op9_chat_format, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_ngram_join, op4_language_id, op6_quality_outliers, op7_mixing, op9_chat_format, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {
     "op9_chat_format": chat_format.DIGEST_SQL.format(probe=PROBE_ID, text=PROBE_TEXT),
     "op7_mixing": mixing.MIX_SQL.format(docs="documents", columns="doc_id, text, lang, source, n_chars"),
