@@ -160,13 +160,38 @@ def traverse(automaton: Traversal, words: np.ndarray, at: np.ndarray, alone: np.
     return out
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return keys.astype("<u8").tobytes() + counts.astype("<u4").tobytes()
+def _pack_small(numbers: np.ndarray) -> bytes:
+    """A byte for each number; those from 255 on follow in 8 bytes each."""
+    large = numbers >= 255
+    return np.where(large, 255, numbers).astype(np.uint8).tobytes() + numbers[large].astype("<u8").tobytes()
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 12
-    return np.frombuffer(data, "<u8", n), np.frombuffer(data, "<u4", n, 8 * n)
+def _unpack_small(data: bytes, n: int) -> np.ndarray:
+    numbers = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    numbers[numbers == 255] = np.frombuffer(data, "<u8", offset=n).astype(np.int64)
+    return numbers
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, each in as many bytes as the largest needs."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    first, steps = steps[:1], steps[1:]
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + first.astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    width = data[0]
+    steps = np.zeros((1 + (len(data) - 9) // width, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    steps[1:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of so many equal ranges of the key space begins in sorted keys, and the end."""
+    bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)])).astype(np.int64)
 
 
 def _block_grams(texts: list[bytes], trains: np.ndarray, order: int):
@@ -201,49 +226,47 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
         uniques, _, counts = _block_grams(list(pdf["text"]), trains, order)[3:]
         out = []
         for n in range(order):
-            part = (uniques[n] >> np.uint64(33)).astype(np.int64) % parts
-            by = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[by], np.arange(parts + 1))
-            keys, own = uniques[n][by], counts[n][by]
-            out += [(int(p), int(key[0]), n, _pack(keys[a:b], own[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-        return pd.DataFrame(out, columns=["part", "block", "n", "grams"])
+            cut = _cuts(uniques[n], parts)
+            out += [(p, int(key[0]), n, _pack_keys(uniques[n][a:b]), _pack_small(counts[n][a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        return pd.DataFrame(out, columns=["part", "block", "n", "grams", "counts"])
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Totals of the n-grams of a part, and for each block those totals that differ from its own counts."""
+        """Totals of the n-grams of a part; for each block a number for each of its n-grams: 0 where the total is its own count."""
         out = []
         for n, same in pdf.groupby("n"):
-            same = same.sort_values("block")
-            pairs = [_unpack(x) for x in same["grams"]]
-            keys, inverse = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
-            counted = np.concatenate([c for _, c in pairs])
-            total = np.bincount(inverse, weights=counted, minlength=len(keys)).astype(np.int64)
+            keys = [_unpack_keys(x) for x in same["grams"]]
+            counted = [_unpack_small(x, len(k)) for x, k in zip(same["counts"], keys, strict=True)]
+            found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(inverse, weights=np.concatenate(counted), minlength=len(found)).astype(np.int64)
+            part = int(pdf["part"].iloc[0])
             if n == 0:
-                out.append((-1, int(pdf["part"].iloc[0]), 0, b"", int((total > 0).sum()), int(total.sum())))
+                out.append((-1, part, 0, b"", int((total > 0).sum()), int(total.sum())))
             first = 0
-            for block, (own_keys, own_counts) in zip(same["block"], pairs, strict=True):
-                of = total[inverse[first : first + len(own_keys)]]
-                first += len(own_keys)
-                more = of != own_counts
-                if more.any():
-                    out.append((int(block), int(pdf["part"].iloc[0]), int(n), _pack(own_keys[more], np.minimum(of[more], 0xFFFFFFFF)), 0, 0))
-        return pd.DataFrame(out, columns=["block", "part", "n", "grams", "types", "tokens"])
-
-    asked = blocks.groupBy("block").applyInPandas(ask, "part long, block long, n int, grams binary")
-    answers = materialize(asked.groupBy("part").applyInPandas(own, "block long, part long, n int, grams binary, types long, tokens long"), "lm-answers")
+            for block, own_counts in zip(same["block"], counted, strict=True):
+                of = total[inverse[first : first + len(own_counts)]]
+                first += len(own_counts)
+                if (of != own_counts).any():
+                    out.append((int(block), part, int(n), _pack_small(np.where(of != own_counts, of, 0)), 0, 0))
+        return pd.DataFrame(out, columns=["block", "part", "n", "totals", "types", "tokens"])
+
+    asked = blocks.groupBy("block").applyInPandas(ask, "part long, block long, n int, grams binary, counts binary")
+    answers = materialize(asked.groupBy("part").applyInPandas(own, "block long, part long, n int, totals binary, types long, tokens long"), "lm-answers")
     sums = answers.where("block = -1").agg(F.coalesce(F.sum("types"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()
     n_types, n_tokens = sums.v, sums.n
 
     def walk(texts_of: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
         trains = ~texts_of["held"].to_numpy(bool)
         tokens, at, grams, uniques, inverses, counts = _block_grams(list(texts_of["text"]), trains, order)
-        for n, data in zip(answered["n"], answered["grams"], strict=True):
-            keys, totals = _unpack(data)
-            counts[n][np.searchsorted(uniques[n], keys)] = totals
+        cuts = [_cuts(unique, parts) for unique in uniques]
+        for n, part, data in zip(answered["n"], answered["part"], answered["totals"], strict=True):
+            mine = slice(cuts[n][part], cuts[n][part + 1])
+            totals = _unpack_small(data, mine.stop - mine.start)
+            counts[n][mine] = np.where(totals > 0, totals, counts[n][mine])
         automaton, alone = build(tokens, at, grams, uniques, inverses, counts, n_texts, n_tokens, n_types, mu)
         known = np.add.reduceat((counts[0] > 0)[inverses[0]].astype(np.int64), at[:-1])
         base = np.add.reduceat(automaton.base[inverses[0]], at[:-1])
         return pd.DataFrame({"id": texts_of["id"], "held_out": ~trains, "n_tokens": np.diff(at), "n_known": known, "train_tokens": n_tokens, "base_score": base, "score": traverse(automaton, inverses[0], at, alone), "n_types": n_types})
 
     schema = blocks.select("id").schema.add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double").add("n_types", "long")
-    scored = blocks.groupBy("block").cogroup(answers.where("block >= 0").select("block", "n", "grams").groupBy("block")).applyInPandas(walk, schema)
+    scored = blocks.groupBy("block").cogroup(answers.where("block >= 0").select("block", "n", "part", "totals").groupBy("block")).applyInPandas(walk, schema)
     return scored.withColumn("id", F.col("id").cast(id_type)).withColumnRenamed("id", id_col)
