@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chat_format, language_id, lm_scoring, mixing, ngram_join, quality_outliers, sentencepiece_viterbi
+from rasterloom.llm import chat_format, language_id, lm_scoring, mixing, ngram_join, pii, quality_outliers, sentencepiece_viterbi
 from rasterloom.llm.common import table
 
 #: A public SentencePiece vocabulary; never copied into the repository.
@@ -41,6 +41,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.fit(docs))
+
+
 #: The fixed conversation that op9 formats besides the table's: control strings in its texts.
 PROBE_ID, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
 
@@ -52,11 +57,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every whole text, and whether decoding them gives the text again."""
-    return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
+    """Ids of every whole text, and the digest of the text that they decode to."""
+    encoded = sentencepiece_viterbi.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
+    decoded = sentencepiece_viterbi.decode(encoded.withColumn("read", F.col("ids")), PIECE_MODEL, ids_col="read", text_col="decoded")
+    return decoded.select("doc_id", "n_ids", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_ngram_join, op4_language_id, op6_quality_outliers, op7_mixing, op9_chat_format, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_ngram_join, op4_language_id, op6_quality_outliers, op7_mixing, op8_pii, op9_chat_format, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {
     "op9_chat_format": chat_format.DIGEST_SQL.format(probe=PROBE_ID, text=PROBE_TEXT),
     "op7_mixing": mixing.MIX_SQL.format(docs="documents", columns="doc_id, text, lang, source, n_chars"),
