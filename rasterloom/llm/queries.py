@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chat_format, language_id, lm_scoring, mixing, ngram_join, pii, quality_outliers, sentencepiece_viterbi
+from rasterloom.llm import chat_format, gif, language_id, lm_scoring, mixing, ngram_join, pii, quality_outliers, sentencepiece_viterbi, url_filter
 from rasterloom.llm.common import table
 
 #: A public SentencePiece vocabulary; never copied into the repository.
@@ -21,6 +21,16 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls that no rule fits are judged by a model trained on a small table of those that a rule decides."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.train(url_filter.labelled_by_rules(pages, URL_RULES))
+    return url_filter.judge(pages, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "probability")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -32,6 +42,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "coverage")
 
 
+def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.inspect(gif.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_outliers.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
@@ -63,7 +77,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_ids", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_ngram_join, op4_language_id, op6_quality_outliers, op7_mixing, op8_pii, op9_chat_format, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filter, op3_ngram_join, op4_language_id, op5_gif, op6_quality_outliers, op7_mixing, op8_pii, op9_chat_format, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {
     "op9_chat_format": chat_format.DIGEST_SQL.format(probe=PROBE_ID, text=PROBE_TEXT),
     "op7_mixing": mixing.MIX_SQL.format(docs="documents", columns="doc_id, text, lang, source, n_chars"),
