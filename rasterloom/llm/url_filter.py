@@ -113,7 +113,7 @@ def judge(pages: DataFrame, model: dict, rules: list[tuple[str, str]], *, url_co
     host, path = split_url(F.col(url_col))
     rows = pages.select(*names, host.alias("host"), path.alias("path"))
     shared = pages.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
-    schema = rows.schema.add("probability", "double")
+    schema = rows.select("*").schema.add("probability", "double")
 
     def predict(batches):
         for batch in batches:
