@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,18 +14,18 @@ from rasterloom.operators.frames import IMAGES, map_planes, map_rows
 MOST_DFT = 64
 
 
-def _samples(pdf: pd.DataFrame) -> np.ndarray:
-    return pdf.sort_values("idx")["value"].to_numpy(float)
+def _samples(table: pa.Table) -> np.ndarray:
+    return table.column("value").to_numpy().astype(float)[np.argsort(table.column("idx").to_numpy(), kind="stable")]
 
 
 def signal_spectrum(signals: DataFrame) -> DataFrame:
     """signal_id, k, re, im: the transform of each signal, zero-padded to a power of two."""
 
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = planes.fft_signal(_samples(pdf))
-        return pd.DataFrame({"signal_id": pdf["signal_id"].iloc[0], "k": np.arange(len(found), dtype=np.int32), "re": found.real, "im": found.imag})
+    def transform(table: pa.Table) -> pa.Table:
+        found = planes.fft_signal(_samples(table))
+        return pa.table({"signal_id": pa.array([table.column("signal_id")[0].as_py()] * len(found)), "k": np.arange(len(found), dtype=np.int32), "re": found.real, "im": found.imag})
 
-    return signals.select("signal_id", "idx", "value").groupBy("signal_id").applyInPandas(transform, "signal_id string, k int, re double, im double")
+    return signals.select("signal_id", "idx", "value").groupBy("signal_id").applyInArrow(transform, "signal_id string, k int, re double, im double")
 
 
 def signal_dft(signals: DataFrame, n: int) -> DataFrame:
@@ -59,12 +59,12 @@ def image_spectrum_images(images: DataFrame) -> DataFrame:
 
 
 def _drawn(signals: DataFrame, draw, width: int, height: int) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"image_id": [pdf["signal_id"].iloc[0]], "width": [width], "height": [height], "pixels": [draw(_samples(pdf), width, height).tobytes()]})
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table({"image_id": pa.array([table.column("signal_id")[0].as_py()]), "width": pa.array([width], pa.int32()), "height": pa.array([height], pa.int32()), "pixels": pa.array([draw(_samples(table), width, height).tobytes()], pa.binary())})
 
     if width < 1 or height < 1:
         raise ValueError("a picture needs a size")
-    return signals.select("signal_id", "idx", "value").groupBy("signal_id").applyInPandas(run, IMAGES)
+    return signals.select("signal_id", "idx", "value").groupBy("signal_id").applyInArrow(run, IMAGES)
 
 
 def signal_plots(signals: DataFrame, *, width: int = 512, height: int = 256) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,16 +22,17 @@ PIXELS_RGB = "image_id string, y int, x int, r smallint, g smallint, b smallint"
 def to_images(pixels: DataFrame) -> DataFrame:
     """images of pixels; every pixel of the rectangle from (0, 0) must be there once."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        width, height = int(pdf["x"].max()) + 1, int(pdf["y"].max()) + 1
-        at = pdf["y"].to_numpy().astype(np.int64) * width + pdf["x"].to_numpy()
-        if len(at) != width * height or len(np.unique(at)) != len(at):
-            raise ValueError(f"image {pdf['image_id'].iloc[0]}: not every pixel is there once")
+    def build(table: pa.Table) -> pa.Table:
+        y, x, v = (table.column(c).to_numpy() for c in ("y", "x", "v"))
+        name, width, height = table.column("image_id")[0], int(x.max()) + 1, int(y.max()) + 1
+        at = y.astype(np.int64) * width + x
+        if len(at) != width * height or np.bincount(at, minlength=width * height).max() > 1:
+            raise ValueError(f"image {name}: not every pixel is there once")
         plane = np.empty(width * height, np.uint8)
-        plane[at] = pdf["v"].to_numpy()
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "width": [width], "height": [height], "pixels": [plane.tobytes()]})
+        plane[at] = v
+        return pa.table({"image_id": pa.array([name.as_py()]), "width": pa.array([width], pa.int32()), "height": pa.array([height], pa.int32()), "pixels": pa.array([plane.tobytes()], pa.binary())})
 
-    return pixels.select("image_id", "y", "x", "v").groupBy("image_id").applyInPandas(build, IMAGES)
+    return pixels.select("image_id", "y", "x", "v").groupBy("image_id").applyInArrow(build, IMAGES)
 
 
 def planes_of(batch: pa.RecordBatch) -> Iterable[tuple[str, np.ndarray]]:
@@ -42,14 +42,32 @@ def planes_of(batch: pa.RecordBatch) -> Iterable[tuple[str, np.ndarray]]:
         yield name, np.frombuffer(data.as_buffer(), np.uint8).reshape(height, width)
 
 
+#: What is gathered from small images before it is handed on: bytes of planes, or rows.
+_GATHER_BYTES, _GATHER_ROWS = 4 << 20, 1 << 16
+
+
 def map_planes(images: DataFrame, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """images whose planes the function made of the images' planes."""
 
     def run(batches):
+        held: list[tuple[str, int, int, bytes]] = []
+
+        def hand_on() -> pa.RecordBatch:
+            names, widths, heights, data = zip(*held, strict=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(widths, pa.int32()), pa.array(heights, pa.int32()), pa.array(data, pa.binary())], ["image_id", "width", "height", "pixels"])
+
+        size = 0
         for batch in batches:
             for name, plane in planes_of(batch):
                 out = np.ascontiguousarray(function(plane), np.uint8)
-                yield pa.record_batch({"image_id": [name], "width": pa.array([out.shape[1]], pa.int32()), "height": pa.array([out.shape[0]], pa.int32()), "pixels": pa.array([out.tobytes()], pa.binary())})
+                held.append((name, out.shape[1], out.shape[0], out.tobytes()))
+                size += out.size
+                if size >= _GATHER_BYTES:
+                    yield hand_on()
+                    size = 0
+        if held:
+            yield hand_on()
 
     return images.select("image_id", "width", "height", "pixels").mapInArrow(run, IMAGES)
 
@@ -57,16 +75,31 @@ def map_planes(images: DataFrame, function: Callable[[np.ndarray], np.ndarray])
 def map_rows(images: DataFrame, function: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """image_id and the columns of the schema: the function gives a dict of equally long arrays for each plane."""
     full = T.StructType.fromDDL(f"image_id string, {schema}")
+    names = full.names[1:]
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(full)
+        held: list[tuple[str, int, dict]] = []
+
+        def hand_on() -> pa.RecordBatch:
+            ids = pa.array([name for name, _, _ in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), [n for _, n, _ in held])))
+            columns = [pa.array(np.concatenate([np.asarray(made[c]) for _, _, made in held]), arrow.field(c).type) for c in names]
+            held.clear()
+            return pa.RecordBatch.from_arrays([ids, *columns], schema=arrow)
+
+        rows = 0
         for batch in batches:
             for name, plane in planes_of(batch):
                 made = function(plane)
-                columns = [pa.array(made[f.name], f.type) for f in list(arrow)[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(columns[0]), pa.string()), *columns], schema=arrow)
+                held.append((name, len(made[names[0]]), made))
+                rows += held[-1][1] + 1
+                if rows >= _GATHER_ROWS:
+                    yield hand_on()
+                    rows = 0
+        if held:
+            yield hand_on()
 
     return images.select("image_id", "width", "height", "pixels").mapInArrow(run, full)
 
