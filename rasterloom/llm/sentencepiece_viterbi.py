@@ -14,6 +14,7 @@ Extra columns pass through `encode` untouched; ids and n_ids are replaced.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ UNKNOWN_PENALTY = 10.0
 MARK = "▁"
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Words kept per task, and characters of text taken together.
-_CACHE_WORDS, _CHUNK = 400_000, 4 << 20
+_CACHE_WORDS, _CHUNK = 800_000, 4 << 20
 
 
 def load_vocabulary(model_path: str) -> dict:
@@ -46,39 +47,69 @@ def load_vocabulary(model_path: str) -> dict:
     crossing = [p for p in ids if re.search(r"[^ ] |\n", p)]
     if crossing:
         raise ValueError(f"pieces cross marked words: {crossing[:3]}")
-    return {"ids": ids, "scores": scores, "spelled": spelled, "bytes": byte_ids, "longest": max(map(len, ids), default=1), "unknown": min(scores.values(), default=0.0) - UNKNOWN_PENALTY}
-
-
-def encode_words(words: list[str], vocabulary: dict) -> dict[str, list[int]]:
-    """Ids of each distinct word: a depth-first walk of the words' trie."""
-    ids, scores, byte_ids, longest, unknown = (vocabulary[k] for k in ("ids", "scores", "bytes", "longest", "unknown"))
-    score_of = scores.get
-    out: dict[str, list[int]] = {}
-    best, back = [0.0], [0]  # by depth on the path from the root: forward score, length of the last piece
-    path = ""
+    return {"ids": ids, "scores": scores, "spelled": spelled, "bytes": byte_ids, "unknown": min(scores.values(), default=0.0) - UNKNOWN_PENALTY}
+
+
+def piece_trie(vocabulary: dict) -> dict:
+    """The pieces as nested nodes: character -> (score or None, id or None, children or None)."""
+    root: dict = {}
+    for piece in sorted(vocabulary["ids"]):
+        kids = root
+        for char in piece[:-1]:
+            node = kids.setdefault(char, [None, None, None])
+            if node[2] is None:
+                node[2] = {}
+            kids = node[2]
+        node = kids.setdefault(piece[-1], [None, None, None])
+        node[0], node[1] = vocabulary["scores"][piece], vocabulary["ids"][piece]
+    return root
+
+
+def encode_words(words: list[str], vocabulary: dict, trie: dict) -> dict[str, list[int]]:
+    """Ids of each distinct word: a depth-first walk of the words' trie.
+
+    Each depth of the current path keeps its forward score, its best last piece, and the pieces still open there (their
+    start's score, their start, and the children reached in the vocabulary's trie), newest first.
+    """
+    byte_ids, unknown, out = vocabulary["bytes"], vocabulary["unknown"], {}
+    best, back, opened = [0.0], [(0, None)], [()]
+    path, root_of = "", trie.get
     for word in sorted(words):
         shared, most = 0, min(len(path), len(word))
         while shared < most and path[shared] == word[shared]:
             shared += 1
-        del best[shared + 1 :], back[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            found = score_of(word[end - 1 : end])
-            top, length = best[end - 1] + (unknown if found is None else found), 1
-            for start in range(end - 2, max(-1, end - longest - 1), -1):
-                found = score_of(word[start:end])
-                if found is not None and best[start] + found > top:
-                    top, length = best[start] + found, end - start
+        del best[shared + 1 :], back[shared + 1 :], opened[shared + 1 :]
+        path = word
+        depth = shared
+        for char in word[shared:]:
+            before, node, still = best[depth], root_of(char), []
+            top, last = before + unknown, (depth, None)
+            if node is not None:
+                score, k, kids = node
+                if score is not None:
+                    top, last = before + score, (depth, k)
+                if kids is not None:
+                    still.append((before, depth, kids))
+            for begun, start, kids in opened[depth]:
+                node = kids.get(char)
+                if node is not None:
+                    score, k, kids = node
+                    if score is not None and begun + score > top:
+                        top, last = begun + score, (start, k)
+                    if kids is not None:
+                        still.append((begun, start, kids))
             best.append(top)
-            back.append(length)
-        path, end, pieces = word, len(word), []
-        while end:
-            piece = word[end - back[end] : end]
-            k = ids.get(piece)
+            back.append(last)
+            opened.append(still)
+            depth += 1
+        pieces = []
+        while depth:
+            start, k = back[depth]
             if k is None:
-                pieces.extend(byte_ids[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
+                pieces.extend(byte_ids[b] for b in reversed(word[start:depth].encode("utf-8", "surrogatepass")))
             else:
                 pieces.append(k)
-            end -= back[end]
+            depth = start
         pieces.reverse()
         out[word] = pieces
     return out
@@ -88,7 +119,7 @@ class Encoder:
     """Encodes texts of one task; remembers up to _CACHE_WORDS words."""
 
     def __init__(self, vocabulary: dict):
-        self.vocabulary, self.index, self.flat, self.at = vocabulary, {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.vocabulary, self.trie, self.index, self.flat, self.at = vocabulary, piece_trie(vocabulary), {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
@@ -109,11 +140,11 @@ class Encoder:
             else:
                 fresh = [w for w in distinct if w not in self.index]
             if fresh:
-                got = encode_words(fresh, self.vocabulary)
+                got = encode_words(fresh, self.vocabulary, self.trie)
                 start = len(self.index)
                 self.index.update(zip(got, range(start, start + len(got)), strict=True))
-                self.flat = np.concatenate([self.flat, np.fromiter((k for pieces in got.values() for k in pieces), np.int32)])
-                self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(p) for p in got.values()])])
+                self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got.values()), np.int32)])
+                self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(list(map(len, got.values())))])
             which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
             begin, length = self.at[which], self.at[which + 1] - self.at[which]
             ends = np.cumsum(length)
