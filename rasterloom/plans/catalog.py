@@ -386,15 +386,16 @@ def rotation_sql(raster: str, degrees: float, method: str) -> str:
     grid AS (SELECT b.*, r.r, q.q FROM box b, LATERAL (SELECT unnest(range(b.oh)) AS r) r, LATERAL (SELECT unnest(range(b.ow)) AS q) q), src AS ({at})"""
     if method == "nearest":
         return head + " SELECT g.image_id, g.r::INT AS y, g.q::INT AS x, coalesce(p.v, 0)::SMALLINT AS v FROM src g LEFT JOIN p ON p.image_id = g.image_id AND p.x = floor(g.sx + 0.5)::INT AND p.y = floor(g.sy + 0.5)::INT"
-    t = "(g.{a} - floor(g.{a}))"
-    if method == "bilinear":
-        weight = {a: f"CASE k.{b} WHEN 0 THEN 1 - {t.format(a=a)} ELSE {t.format(a=a)} END" for a, b in (("sx", "i"), ("sy", "j"))}
-        taps = "(0), (1)"
-    else:
-        basis = "CASE k.{b} WHEN -1 THEN -{t} * ({t} - 1) * ({t} - 2) / 6 WHEN 0 THEN ({t} + 1) * ({t} - 1) * ({t} - 2) / 2 WHEN 1 THEN -({t} + 1) * {t} * ({t} - 2) / 2 ELSE ({t} + 1) * {t} * ({t} - 1) / 6 END"
-        weight = {a: basis.format(b=b, t=t.format(a=a)) for a, b in (("sx", "i"), ("sy", "j"))}
-        taps = "(-1), (0), (1), (2)"
     inside = "g.sx >= 0 AND g.sy >= 0 AND g.sx <= g.w - 1 AND g.sy <= g.h - 1"
+    dx, dy = "(g.sx - floor(g.sx))", "(g.sy - floor(g.sy))"
+    if method == "bilinear":
+        taps = " ".join(f"LEFT JOIN p p{j}{i} ON p{j}{i}.image_id = g.image_id AND p{j}{i}.x = floor(g.sx)::INT + {i} AND p{j}{i}.y = floor(g.sy)::INT + {j}" for j in (0, 1) for i in (0, 1))
+        across = [f"(coalesce(p{j}0.v, 0) * (1.0::DOUBLE - {dx}) + coalesce(p{j}1.v, 0) * {dx})" for j in (0, 1)]
+        value = pixel(f"{across[0]} * (1.0::DOUBLE - {dy}) + {across[1]} * {dy}")
+        return head + f" SELECT g.image_id, g.r::INT AS y, g.q::INT AS x, (CASE WHEN {inside} THEN {value} ELSE 0 END)::SMALLINT AS v FROM src g {taps}"
+    basis = "CASE k.{b} WHEN -1 THEN -{t} * ({t} - 1) * ({t} - 2) / 6 WHEN 0 THEN ({t} + 1) * ({t} - 1) * ({t} - 2) / 2 WHEN 1 THEN -({t} + 1) * {t} * ({t} - 2) / 2 ELSE ({t} + 1) * {t} * ({t} - 1) / 6 END"
+    weight = {"sx": basis.format(b="i", t=dx), "sy": basis.format(b="j", t=dy)}
+    taps = "(-1), (0), (1), (2)"
     total = f"sum(({weight['sx']}) * ({weight['sy']}) * coalesce(p.v, 0))"
     return head + f""", k AS (SELECT i, j FROM (VALUES {taps}) a(i), (VALUES {taps}) b(j)),
     m AS (SELECT g.image_id, g.r, g.q, {total} AS v FROM src g CROSS JOIN k LEFT JOIN p ON p.image_id = g.image_id AND p.x = floor(g.sx)::INT + k.i AND p.y = floor(g.sy)::INT + k.j WHERE {inside} GROUP BY 1, 2, 3)
