@@ -27,6 +27,8 @@ DIMENSIONS = ("x0", "x1", "x2", "x3")
 SUBSET, STEPS, LEAST_ROWS = 0.75, 3, 50
 #: Chi-square quantiles with 4 degrees (0.99999; median-free consistency factor of the 75 % subset).
 CUTOFF, CONSISTENCY = 28.47, 1.48
+#: Groups up to which tables of one row a group are broadcast; beyond it, joins on the group shuffle.
+BROADCAST_GROUPS = 50_000
 #: Standard deviations below which a statistic's spread isn't told from none.
 FLOORS = (0.35, 0.08, 0.12, 0.12)
 
@@ -92,9 +94,10 @@ def _cholesky(params: DataFrame) -> DataFrame:
     return params.select("g", *[f"m{k}" for k in range(4)], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)])
 
 
-def _distances(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _distances(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance by their group's parameters; null where the group has none."""
-    joined = rows.join(_cholesky(params), "g", "left")
+    factors = _cholesky(params)
+    joined = rows.join(F.broadcast(factors) if few else factors, "g", "left")
     solved: list[Column] = []
     for i in range(4):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
@@ -105,11 +108,11 @@ def _distances(rows: DataFrame, params: DataFrame) -> DataFrame:
     return joined.withColumn("d2", solved[0] + solved[1] + solved[2] + solved[3]).select(*rows.columns, "d2")
 
 
-def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _concentrate(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
     """One step: mean and covariance of the nearest 75 % of each group."""
-    binned = _distances(rows, params).withColumn("bin", F.floor(F.log(F.col("d2") + 0.001) * 100))
+    binned = _distances(rows, params, few).withColumn("bin", F.floor(F.log(F.col("d2") + 0.001) * 100))
     cut = _quantiles(binned.groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], {"cut": SUBSET})
-    near = binned.join(cut, "g").where("bin <= cut")
+    near = binned.join(F.broadcast(cut) if few else cut, "g").where("bin <= cut")
     sums = [F.avg(x).alias(f"m{k}") for k, x in enumerate(DIMENSIONS)]
     sums += [(F.covar_pop(f"x{i}", f"x{j}") * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(4) for j in range(i + 1)]
     return near.groupBy("g").agg(*sums)
@@ -122,13 +125,14 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gr
     language = name(F.col("g0"))
     own = F.to_json(F.array(language, name(F.col("g1"))))
     rows = rows.withColumn("own", own).withColumn("pool", F.to_json(F.array(language)))
-    sizes = rows.groupBy("own").agg(F.count("*").alias("own_rows"))
-    rows = rows.join(materialize(sizes, "quality-groups"), "own").withColumn("g", F.when(F.col("own_rows") >= LEAST_ROWS, F.col("own")).otherwise(F.col("pool"))).drop("own", "pool", "own_rows")
-    large = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("g")
-    judged = rows.join(materialize(large, "quality-large"), "g", "left_semi")
+    sizes = materialize(rows.groupBy("own").agg(F.count("*").alias("own_rows")), "quality-groups")
+    few = sizes.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    rows = rows.join(F.broadcast(sizes) if few else sizes, "own").withColumn("g", F.when(F.col("own_rows") >= LEAST_ROWS, F.col("own")).otherwise(F.col("pool"))).drop("own", "pool", "own_rows")
+    large = materialize(rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("g"), "quality-large")
+    judged = rows.join(F.broadcast(large) if few else large, "g", "left_semi")
     params = materialize(_start(judged), "quality-parameters")
     for _ in range(STEPS):
-        params = materialize(_concentrate(judged, params), "quality-parameters")
-    final = _distances(rows, params)
+        params = materialize(_concentrate(judged, params, few), "quality-parameters")
+    final = _distances(rows, params, few)
     inside = F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return final.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.sqrt("d2").alias("distance"))
