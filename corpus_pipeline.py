@@ -15,20 +15,17 @@ from rasterloom.llm import ngram_join, pii, sentencepiece_viterbi
 from rasterloom.llm.common import materialize, table
 from rasterloom.llm.queries import PIECE_MODEL
 
-#: A text goes if no language's filter holds at least this share of its n-grams.
-LEAST_COVERAGE = 0.15
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled documents teach; those undetermined or hardly covered go.
+    """Documents in a language that the labelled documents teach; those go that have no letter or share no n-gram with any.
 
     Without any labelled document there is nothing to judge by, and all documents with a text stay.
     """
     model = languages.fit(docs)
     if not model["langs"]:
         return docs.where(F.col("text").isNotNull())
-    judged = languages.identify(docs.withColumn("text to judge", F.col("text")), model, text_col="text to judge", keep=docs.columns)
-    return judged.where((F.col("lang_pred") != languages.UNDETERMINED) & (F.col("coverage") >= LEAST_COVERAGE)).select(*docs.columns)
+    judged = languages.identify(docs, model)
+    return judged.where(F.col("lang_pred") != languages.UNDETERMINED).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
