@@ -52,6 +52,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch of rows on its way to Python; a batch holds one row at least.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let batches on their way to Python end at BATCH_BYTES, so that long texts don't come by the ten thousand.
+
+    This lowers a setting of the session, spark.sql.execution.arrow.maxBytesPerBatch, unless it is lower already.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name)).lower().rstrip("b")
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    size = float(now[:-1]) * scale[now[-1]] if now[-1:] in scale else float(now or 0)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x.astype(np.uint64, copy=True)

@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterloom.llm.common import bound_batches
+
 UNKNOWN_PENALTY = 10.0
 MARK = "▁"
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Words kept per task, and characters of text taken together.
-_CACHE_WORDS, _CHUNK = 800_000, 4 << 20
+_CACHE_WORDS, _CHUNK = 400_000, 4 << 20
 
 
 def load_vocabulary(model_path: str) -> dict:
@@ -166,6 +168,7 @@ def decode_ids(ids: list[int], spelled: list[bytes]) -> str:
 
 def encode(docs: DataFrame, model_path: str, *, text_col: str = "text") -> DataFrame:
     """docs with ids (array of int) and n_ids (long) in place of the text column."""
+    bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in (text_col, "ids", "n_ids")]
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))  # as large as the model file
     schema = docs.select(*names).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_ids", "long")
@@ -174,29 +177,37 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text") -> DataF
         encoder = Encoder(shared.value)
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
-            for first in range(0, len(text), 512):
-                part = text.slice(first, 512)
-                flat, n = encoder.encode(part.to_pylist())
-                at = np.zeros(len(n) + 1, np.int32)
-                np.cumsum(n, out=at[1:])
-                null = part.is_null().to_numpy(zero_copy_only=False)
-                ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat), mask=pa.array(null))
-                yield pa.RecordBatch.from_arrays([*(c.slice(first, 512) for c in batch.columns[:-1]), ids, pa.array(n, pa.int64(), mask=null)], [*names, "ids", "n_ids"])
+            flat, n = encoder.encode(text.to_pylist())
+            at = np.zeros(len(n) + 1, np.int32)
+            np.cumsum(n, out=at[1:])
+            null = text.is_null().to_numpy(zero_copy_only=False)
+            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat), mask=pa.array(null))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, pa.array(n, pa.int64(), mask=null)], [*names, "ids", "n_ids"])
 
     return docs.select(*names, F.col(text_col).alias("text to encode")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """encoded with the text in place of the ids; a null list gives a null text."""
+    bound_batches(encoded.sparkSession)
     names = [c for c in encoded.columns if c not in (text_col, ids_col)]
     shared = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(model_path)["spelled"])
     schema = encoded.select(*names).schema.add(text_col, "string")
 
     def run(batches):
         spelled = shared.value
+        sizes, piece = np.array(list(map(len, spelled)), np.int64), spelled.__getitem__
         for batch in batches:
-            ids = batch.column(batch.num_columns - 1)
-            texts = [None if x is None else decode_ids(x.values.to_pylist(), spelled) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*names, text_col])
+            for first in range(0, batch.num_rows, 512):
+                ids = batch.column(batch.num_columns - 1).slice(first, 512)
+                flat, null = ids.flatten().to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+                data = b"".join(map(piece, flat.tolist()))
+                n = np.where(null, 0, ids.value_lengths().fill_null(0).to_numpy())
+                upto = np.concatenate(([0], np.cumsum(sizes[flat])))[np.concatenate(([0], np.cumsum(n)))]
+                texts = []
+                for missing, a, b in zip(null.tolist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+                    # the blank that encoding put before the text goes
+                    texts.append(None if missing else data[a + (data[a : a + 1] == b" " and a < b) : b].decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, 512) for c in batch.columns[:-1]), pa.array(texts, pa.string())], [*names, text_col])
 
     return encoded.select(*names, F.col(ids_col).alias("ids to decode")).mapInArrow(run, schema)
