@@ -17,13 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import IS_SPACE, batches_of, joined, mix
+from rasterloom.llm.common import IS_SPACE, batches_of, bound_batches, joined, mix
 
 UNDETERMINED = "und"
 HASHES = 3
 #: Languages at most; a slot has a 64-bit word for each 64 of them.
 MOST_LANGUAGES = 1024
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 #: ASCII that isn't a letter becomes a blank; bytes of other characters stay.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -62,6 +62,7 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", doc
     """
     if n_slots & (n_slots - 1) or not 1 << 8 <= n_slots <= 1 << 21:
         raise ValueError("n_slots must be a power of two from 2**8 to 2**21")
+    bound_batches(train.sparkSession)
     known = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
@@ -141,19 +142,23 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list
     hits, coverage the share of the text's n-grams that the best language's filter holds.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     names = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score", "coverage")]
     shared = spark.sparkContext.broadcast(model)  # n_slots words of 8 bytes a 64 languages, whatever the input
+    place = names.index(text_col) if text_col in names else len(names)
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("coverage", "double")
 
     def predict(batches):
         model = shared.value
         names_of = np.array([*model["langs"], UNDETERMINED], dtype=object)
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
+            text = batch.column(place)
             best, score, cover = score_texts(model, text.to_pylist())
             lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             best, score, cover = np.where(lettered, best, -1), np.where(lettered, score, 0.0), np.where(lettered, cover, 0.0)
             score = np.where(best < 0, 0.0, score)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names_of[best], pa.string()), pa.array(score), pa.array(cover)], [*names, "lang_pred", "score", "coverage"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(names_of[best], pa.string()), pa.array(score), pa.array(cover)], [*names, "lang_pred", "score", "coverage"])
 
+    if text_col in names:  # so the text goes to Python once
+        return docs.select(*names).mapInArrow(predict, schema)
     return docs.select(*names, F.col(text_col).alias("text to identify")).mapInArrow(predict, schema)
