@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterloom.llm.common import bound_batches
+
 SIGNATURES = (b"GIF87a", b"GIF89a")
 LINE, MOST_LINES = 64, 65_535
 #: Bins of each histogram.
@@ -291,6 +293,7 @@ def read_samples(data: bytes) -> tuple[bytes, list[dict]]:
 
 def decode(images: DataFrame, *, id_col: str = "image_id", data_col: str = "gif") -> DataFrame:
     """image id and the columns of FRAME_SCHEMA, a row for each frame; images without frames have one row with an error."""
+    bound_batches(images.sparkSession)
     schema = T.StructType([T.StructField(id_col, images.schema[id_col].dataType), *FRAME_SCHEMA.fields])
 
     def run(batches):
@@ -315,13 +318,13 @@ def padded(text: bytes) -> bytes:
 
 def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes (of the text) and gif, which holds the padded UTF-8 text as samples. A null text is empty."""
+    bound_batches(docs.sparkSession)
     schema = docs.select(id_col).schema.add("n_bytes", "long").add("gif", "binary")
 
     def run(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                texts = [t or b"" for t in batch.column(1).slice(first, 1000).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, 1000), pa.array(map(len, texts), pa.int64()), pa.array([encode_samples(padded(t)) for t in texts], pa.binary())], [id_col, "n_bytes", "gif"])
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([encode_samples(padded(t)) for t in texts], pa.binary())], [id_col, "n_bytes", "gif"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text to store")).mapInArrow(run, schema)
 
