@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import batches_of, combine, joined, materialize, mix, span_hashes, word_bounds
+from rasterloom.llm.common import batches_of, bound_batches, combine, joined, materialize, mix, span_hashes, word_bounds
 from rasterloom.llm.components import connected_components
 
 CHUNK_CLASSES, CHUNK_BYTES = 512, 4 << 20
+#: Classes up to which a Bloom filter of their ids is broadcast, and its bits an id (before the next power of two).
+FILTER_IDS, BITS_PER_ID = 4_000_000, 16
 _TEXT_CHUNK = 2 << 20
 
 
@@ -39,7 +41,7 @@ def choose_bands(threshold: float, target_recall: float, most_hashes: int = 128)
     best = None
     for rows in range(1, 33):
         meet = threshold**rows
-        bands = 1 if meet >= target_recall else math.ceil(math.log(1 - target_recall) / math.log(1 - meet))
+        bands = 1 if meet >= target_recall else math.ceil(math.log(1 - target_recall) / math.log1p(-meet))
         if bands * rows <= most_hashes:
             best = bands, rows
     if best is None:
@@ -166,6 +168,7 @@ def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, target_recall: float = 0.9999) -> DataFrame:
     """id, class_id (least id among the texts that links connect), n_links (other rows linked to this one), a row for each row."""
+    bound_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, target_recall)
     signed = materialize(signatures(docs, id_col=id_col, text_col=text_col, size=size, bands=bands, rows=rows), "join-signatures")
     classes = materialize(signed.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("bytes").alias("bytes"), F.min("hashes").alias("hashes")), "join-classes")
@@ -174,13 +177,13 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     first = met.groupBy("band", "value").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     edges = met.join(first, ["band", "value"]).where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
     grouped = connected_components(edges)
-    members = materialize(grouped.join(classes, grouped.node == classes.key).select("key", "root", "copies", "bytes", "hashes"), "join-members")
+    members = materialize(grouped.join(classes, grouped.node == classes.key).select("key", "root", "least", "copies", "bytes", "hashes"), "join-members")
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes"))
     n_chunks = F.greatest(F.ceil(F.col("n") / CHUNK_CLASSES), F.ceil(F.col("all_bytes") / CHUNK_BYTES)).cast("int")
     chunked = members.join(sizes.select("root", n_chunks.alias("chunks")), "root").withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
     # the sets themselves, from one text of each class that met another
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    wanted = signed.where("key is not null").join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
+    wanted = members.select("key", F.col("least").alias("id"))
     spread = chunked.join(_sets(texts, wanted, size), "key")
     meeting = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("low"), F.greatest("chunk", k).alias("high"))))
     tasks = spread.select("root", "chunk", "key", "copies", "hashes", "grams", meeting.alias("m")).select("root", "m.low", "m.high", "chunk", "key", "copies", "hashes", "grams")
@@ -219,22 +222,50 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     return out.unionByName(alone).withColumnRenamed("id", id_col)
 
 
+def _bit_set(ids: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of n hashed ids with two probes each, BITS_PER_ID bits an id; the driver gets its words."""
+    bits = 1 << max(12, (BITS_PER_ID * n - 1).bit_length())
+    probe = F.explode(F.array(*[F.pmod(F.shiftrightunsigned(F.xxhash64("id"), 21 * k), F.lit(bits)) for k in (0, 1)]))
+    words = ids.select(probe.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
 def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """key and grams (the packed shingle set) for each wanted class; a class is known by its set's digest."""
+    """key and grams (the packed shingle set) for each wanted class; a class is known by its set's digest.
+
+    Up to FILTER_IDS classes, a broadcast Bloom filter of their ids picks the texts while they are scanned, so that only sets
+    are shuffled; beyond it, texts are joined by id. Either way the last join on the digest is exact.
+    """
+    spark = texts.sparkSession
+    n = wanted.limit(FILTER_IDS + 1).count()
+    some, chosen = texts.select("text", F.xxhash64("id").alias("h")), None
+    if n <= FILTER_IDS:
+        chosen = spark.sparkContext.broadcast(_bit_set(wanted, n))
+    else:
+        ids = wanted.select(F.col("id").alias("wanted id"))
+        some = texts.join(ids, F.col("id").eqNullSafe(F.col("wanted id")), "left_semi").select("text", F.xxhash64("id").alias("h"))
 
     def run(batches):
         for batch in batches:
+            if chosen is not None:
+                words = chosen.value
+                h = batch.column("h").to_numpy().view(np.uint64)
+                there = np.ones(len(h), bool)
+                for k in (0, 1):
+                    probe = (h >> np.uint64(21 * k)) & np.uint64(64 * len(words) - 1)
+                    there &= (words[(probe >> np.uint64(6)).astype(np.int64)] >> (probe & np.uint64(63)) & np.uint64(1)).astype(bool)
+                batch = batch.filter(pa.array(there))
             keys, grams = [], []
             for found in shingle_sets([t or b"" for t in batch.column("text").to_pylist()], size):
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 grams.append(found.tobytes())
             yield pa.record_batch({"key": pa.array(keys, pa.binary()), "grams": pa.array(grams, pa.binary())})
 
-    ids = wanted.select(F.col("id").alias("wanted id"))
-    some = texts.join(ids, F.col("id").eqNullSafe(F.col("wanted id")), "left_semi").select("text")
     found = some.mapInArrow(run, "key binary, grams binary")
-    # rows of one id can hold several texts: only wanted classes stay, once each
-    return found.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min("grams").alias("grams"))
+    # rows of one id can hold several texts, and the filter lets some others through: only wanted classes stay, once each
+    return found.join(wanted.select("key").hint("merge"), "key", "left_semi").groupBy("key").agg(F.min("grams").alias("grams"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
