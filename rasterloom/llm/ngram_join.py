@@ -33,6 +33,8 @@ from rasterloom.llm.components import connected_components
 CHUNK_CLASSES, CHUNK_BYTES = 512, 4 << 20
 #: Classes up to which a Bloom filter of their ids is broadcast, and its bits an id (before the next power of two).
 FILTER_IDS, BITS_PER_ID = 4_000_000, 16
+#: Ids up to which the table of what goes is broadcast.
+BROADCAST_IDS = 1_000_000
 _TEXT_CHUNK = 2 << 20
 
 
@@ -269,12 +271,18 @@ def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each class: the one with the least id. Rows without an id can't be named as copies and stay."""
-    names = docs.columns
+    """docs with one row of each class: the one with the least id. Rows without an id can't be named as copies and stay.
+
+    What goes is told by id, which is little beside the texts: up to BROADCAST_IDS ids the texts aren't shuffled.
+    """
     linked = link(docs, id_col=id_col, text_col=text_col, **options)
-    first = materialize(linked.where(F.col(id_col) == F.col("class_id")).groupBy(F.col(id_col).alias("kept id")).agg(F.count("*").alias("rows of id")), "join-kept")
-    kept = docs.join(first, F.col(id_col) == F.col("kept id"))
-    once = kept.where(F.col("rows of id") == 1).select(*names)
-    # an id that stands in several rows of its class: one of them stays
-    repeated = kept.where(F.col("rows of id") > 1).select(*names).dropDuplicates([id_col])
-    return once.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
+    named = linked.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("other id"))
+    told = named.agg(F.max(F.col(id_col) == F.col("class_id")).alias("first"), F.count("*").alias("rows"))
+    # ids that go, and ids that stand in several rows, of which one stays
+    others = materialize(told.where(~F.col("first") | (F.col("rows") > 1)).select("other id", "first"), "join-others")
+    if others.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        others = F.broadcast(others)
+    same = F.col(id_col) == F.col("other id")
+    once = docs.join(others, same, "left_anti")
+    repeated = docs.join(others.where("first"), same, "left_semi").dropDuplicates([id_col])
+    return once.unionByName(repeated)

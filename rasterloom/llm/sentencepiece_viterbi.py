@@ -28,7 +28,7 @@ UNKNOWN_PENALTY = 10.0
 MARK = "▁"
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Words kept per task, and characters of text taken together.
-_CACHE_WORDS, _CHUNK = 400_000, 4 << 20
+_CACHE_WORDS, _CHUNK = 400_000, 2 << 20
 
 
 def load_vocabulary(model_path: str) -> dict:
