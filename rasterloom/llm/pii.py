@@ -27,6 +27,8 @@ KINDS = ("email", "ip", "card", "phone", "ssn")
 BASE_KINDS = KINDS[:4]
 LABELERS = ("format", "gazetteer", "context", "edges")
 CONTEXT = 24
+#: A format's check (a checksum, a range) errs at most this often, whatever the votes suggest.
+FORMAT_ERRS = 0.005
 
 #: Fixed patterns of the candidates: name, kind, a cheap test that a text needs, the pattern.
 PATTERNS = (
@@ -128,6 +130,10 @@ def estimate(patterns: list[tuple], rounds: int = 30) -> dict[str, dict[tuple, f
                     for y, lean in ((0, 1.5 if vote == 1 else 0.5), (1, 1.5 if vote == -1 else 0.5)):
                         got = sum(n * (p if y == 0 else 1 - p) for (v, n), p in zip(rows, post, strict=True) if v[j] == vote)
                         rate[j, vote, y] = (got + lean) / (weight[y] + 0.5)
+                for vote, for_it, against in ((1, 0, 1), (-1, 1, 0)):  # no vote may count against what it says
+                    if rate[j, vote, for_it] < rate[j, vote, against]:
+                        rate[j, vote, 0] = rate[j, vote, 1] = (rate[j, vote, 0] + rate[j, vote, 1]) / 2
+            rate[0, -1, 0], rate[0, 1, 1] = min(FORMAT_ERRS, rate[0, -1, 0]), min(FORMAT_ERRS, rate[0, 1, 1])
             post = []
             for v, _ in rows:
                 odds = math.log(prior / (1 - prior)) + sum(math.log(rate[j, v[j], 0] / rate[j, v[j], 1]) for j in range(len(LABELERS)))
