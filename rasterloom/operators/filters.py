@@ -6,6 +6,8 @@ take images larger than a task's memory, at the price of a shuffle of one partia
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,5 +171,47 @@ def zero_crossings_pixels(responses: DataFrame, thresholds: DataFrame) -> DataFr
     return limited.select("image_id", "y", "x", F.when(edge, 255).otherwise(0).cast("smallint").alias("v"))
 
 
+def rotate_pixels(pixels: DataFrame, degrees: float, method: str = "bilinear", background: int = 0) -> DataFrame:
+    """pixels turned about their image's centre: each place of the output asks for the 1, 4 or 16 source pixels around it.
+
+    A place whose source lies outside, and taps outside, are background. The sizes of the output are worked out per image.
+    """
+    planes.rotated_box(1, 1, degrees)
+    turn = math.radians(degrees)
+    c, s = F.lit(math.cos(turn)), F.lit(math.sin(turn))
+    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    half_w, half_h = F.col("w") / 2, F.col("h") / 2
+    xs = [a * half_w * c + b * half_h * s for a in (-1, 1) for b in (-1, 1)]
+    ys = [-(a * half_w) * s + b * half_h * c for a in (-1, 1) for b in (-1, 1)]
+    box = size.select("image_id", "w", "h", F.least(*xs).alias("left"), F.least(*ys).alias("top"), *[F.greatest(F.lit(1), F.ceil(F.greatest(*v) - F.least(*v) - 1e-9)).cast("int").alias(n) for n, v in (("ow", xs), ("oh", ys))])
+    lines = box.select("*", F.explode(F.sequence(F.lit(0), F.col("oh") - 1)).alias("y"))
+    # lines are dealt out before they are spread, so that one image's places don't begin in one task
+    grid = lines.repartition("image_id", "y").select("*", F.explode(F.sequence(F.lit(0), F.col("ow") - 1)).alias("x"))
+    tx, ty = F.col("left") + F.col("x") + 0.5, F.col("top") + F.col("y") + 0.5
+    at = grid.select("image_id", "y", "x", "w", "h", (tx * c - ty * s + F.col("w") / 2 - 0.5).alias("sx"), (tx * s + ty * c + F.col("h") / 2 - 0.5).alias("sy"))
+    source = pixels.select("image_id", F.col("y").alias("row"), F.col("x").alias("col"), F.col("v").cast("int").alias("v"))
+    if method == "nearest":
+        asked = at.select("image_id", "y", "x", F.floor(F.col("sy") + 0.5).cast("int").alias("row"), F.floor(F.col("sx") + 0.5).cast("int").alias("col"))
+        return asked.join(source, ["image_id", "row", "col"], "left").select("image_id", "y", "x", F.coalesce("v", F.lit(background)).cast("smallint").alias("v"))
+    if method not in ("bilinear", "bicubic"):
+        raise ValueError("the method must be nearest, bilinear or bicubic")
+    reach = range(0, 2) if method == "bilinear" else range(-1, 3)
+    inside = (F.col("sx") >= 0) & (F.col("sy") >= 0) & (F.col("sx") <= F.col("w") - 1) & (F.col("sy") <= F.col("h") - 1)
+
+    def weights(t: Column) -> list[Column]:
+        if method == "bilinear":
+            return [1 - t, t]
+        return [-t * (t - 1) * (t - 2) / 6, (t + 1) * (t - 1) * (t - 2) / 2, -(t + 1) * t * (t - 2) / 2, (t + 1) * t * (t - 1) / 6]
+
+    across, down = weights(F.col("sx") - F.floor("sx")), weights(F.col("sy") - F.floor("sy"))
+    taps = F.array(*[F.struct((F.floor("sy") + b).cast("int").alias("row"), (F.floor("sx") + a).cast("int").alias("col"), (across[i] * down[j]).alias("weight")) for j, b in enumerate(reach) for i, a in enumerate(reach)])
+    outside = F.array(F.struct(F.lit(-1).alias("row"), F.lit(-1).alias("col"), F.lit(1.0).alias("weight")))
+    asked = at.select("image_id", "y", "x", F.explode(F.when(inside, taps).otherwise(outside)).alias("t")).select("image_id", "y", "x", "t.*")
+    met = asked.join(source, ["image_id", "row", "col"], "left")
+    total = F.sum(F.col("weight") * F.coalesce("v", F.lit(background)))
+    # sums of products in any order: what only their last bits differ in is one value before it is rounded
+    return met.groupBy("image_id", "y", "x").agg(total.alias("v")).select("image_id", "y", "x", clamp(F.round("v", 9)).alias("v"))
+
+
 def count_edges(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg(F.count_if(F.col("v") != 0).alias("edge_pixels"))

@@ -53,6 +53,32 @@ def image_spectrum(images: DataFrame) -> DataFrame:
     return map_rows(images, transform, "v int, u int, re double, im double")
 
 
+def image_spectrum_pixels(pixels: DataFrame, size: int) -> DataFrame:
+    """The same of pixels, for images up to size (a power of two) in width and height: rows first, then columns.
+
+    A task holds one row or one column at a time, so an image may be larger than any task's memory.
+    """
+    if size < 1 or size & (size - 1):
+        raise ValueError("the size must be a power of two")
+
+    def rows(table: pa.Table) -> pa.Table:
+        line = np.zeros(size)
+        line[table.column("x").to_numpy()] = table.column("v").to_numpy()
+        found = np.fft.fft(line)
+        name, y = table.column("image_id")[0].as_py(), table.column("y")[0].as_py()
+        return pa.table({"image_id": pa.array([name] * size), "y": pa.array(np.full(size, y, np.int32)), "u": np.arange(size, dtype=np.int32), "re": found.real, "im": found.imag})
+
+    def columns(table: pa.Table) -> pa.Table:
+        line = np.zeros(size, complex)
+        line[table.column("y").to_numpy()] = table.column("re").to_numpy() + 1j * table.column("im").to_numpy()
+        found = np.fft.fft(line)
+        name, u = table.column("image_id")[0].as_py(), table.column("u")[0].as_py()
+        return pa.table({"image_id": pa.array([name] * size), "v": np.arange(size, dtype=np.int32), "u": pa.array(np.full(size, u, np.int32)), "re": found.real, "im": found.imag})
+
+    lines = pixels.select("image_id", "y", "x", "v").groupBy("image_id", "y").applyInArrow(rows, "image_id string, y int, u int, re double, im double")
+    return lines.groupBy("image_id", "u").applyInArrow(columns, "image_id string, v int, u int, re double, im double")
+
+
 def image_spectrum_images(images: DataFrame) -> DataFrame:
     """images of the shifted log amplitudes."""
     return map_planes(images, planes.plane_spectrum_image)

@@ -417,6 +417,17 @@ def rotate_bicubic(spark, d):
     return to_pixels(filters.rotate(to_images(embedding_tiles(spark, d)), -45, "bicubic"))
 
 
+@query(rotation_sql(ORDERS, 30, "nearest"))
+def rotate_nearest_pixels(spark, d):
+    """The same as a join of places and pixels."""
+    return filters.rotate_pixels(orders_raster(spark, d), 30, "nearest")
+
+
+@query(rotation_sql(TILES, -45, "bicubic"))
+def rotate_bicubic_pixels(spark, d):
+    return filters.rotate_pixels(embedding_tiles(spark, d), -45, "bicubic")
+
+
 @query(f"SELECT t.image_id, y.y::INT AS y, x.x::INT AS x, coalesce(p.v, 0)::SMALLINT AS v FROM (SELECT DISTINCT image_id FROM {TILES}) t, range(5) y(y), range(11) x(x) LEFT JOIN {TILES} p ON p.image_id = t.image_id AND p.y = y.y + 1 AND p.x = x.x - 1")
 def crop_or_pad(spark, d):
     return to_pixels(filters.crop_or_pad(to_images(embedding_tiles(spark, d)), 5, 11))
@@ -605,6 +616,16 @@ def image_fft(spark, d):
     return rounded(fourier.image_spectrum(to_images(embedding_tiles(spark, d))), "re", "im")
 
 
+@query(
+    f"""SELECT a.v::INT AS v, b.u::INT AS u, 'orders' AS image_id, round(sum(p.v * cos(2 * pi() * ((a.v * p.y + b.u * p.x) % 16) / 16)), 5) + 0.0 AS re, round(-sum(p.v * sin(2 * pi() * ((a.v * p.y + b.u * p.x) % 16) / 16)), 5) + 0.0 AS im
+    FROM {ORDERS} p, range(16) a(v), range(16) b(u) WHERE p.y < 10 AND p.x < 13 GROUP BY 1, 2"""
+)
+def image_fft_pixels(spark, d):
+    """Rows, then columns, of a corner of the raster."""
+    corner = orders_raster(spark, d).where("y < 10 AND x < 13")
+    return rounded(fourier.image_spectrum_pixels(corner, 16), "re", "im", digits=5)
+
+
 @query(
     f"""WITH f AS (SELECT p.image_id, a.v, b.u, sum(p.v * cos(2 * pi() * ((a.v * p.y + b.u * p.x) % 8) / 8)) AS re, sum(p.v * sin(2 * pi() * ((a.v * p.y + b.u * p.x) % 8) / 8)) AS im FROM {TILES} p, range(8) a(v), range(8) b(u) GROUP BY 1, 2, 3),
     a AS (SELECT *, ln(1 + sqrt(re * re + im * im)) AS amplitude FROM f)

@@ -87,6 +87,23 @@ def test_both_forms_of_windows_agree(spark):
     assert {r.image_id: r.edge_pixels for r in filters.count_edges(edges).collect()} == {n: np.count_nonzero(e) for n, e in wanted.items()}
 
 
+@pytest.mark.parametrize("method", ["nearest", "bilinear", "bicubic"])
+def test_rotation_forms_agree(spark, method):
+    images = images_of(spark, a=RNG.integers(0, 256, (9, 7)), b=RNG.integers(0, 256, (5, 11)))
+    got = {(r.image_id, r.y, r.x): r.v for r in filters.rotate_pixels(to_pixels(images), 37.0, method, 5).collect()}
+    wanted = {(n, y, x): int(v) for n, p in planes_back(filters.rotate(images, 37.0, method, 5)).items() for (y, x), v in np.ndenumerate(p)}
+    assert got == wanted
+
+
+def test_spectrum_of_pixels(spark):
+    images = images_of(spark, a=RNG.integers(0, 256, (9, 12)))
+    key = lambda df: {(r.v, r.u): complex(r.re, r.im) for r in df.collect()}
+    whole, lines = key(fourier.image_spectrum(images)), key(fourier.image_spectrum_pixels(to_pixels(images), 16))
+    assert whole.keys() == lines.keys() and all(abs(whole[k] - lines[k]) < 1e-6 for k in whole)
+    with pytest.raises(ValueError):
+        fourier.image_spectrum_pixels(to_pixels(images), 12)
+
+
 def test_operators_without_rows(spark):
     none = spark.createDataFrame([], IMAGES)
     assert filters.low_pass(none, 3).count() == filters.rotate(none, 30).count() == to_pixels(none).count() == 0
