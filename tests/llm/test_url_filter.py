@@ -39,7 +39,7 @@ def test_rules(spark):
 
 
 def test_held_out_accuracy(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
     labelled = url_filter.labelled_by_rules(pages, URL_RULES).cache()
     train = labelled.where(F.pmod(F.xxhash64("url"), F.lit(2)) == 0)
     test = labelled.where(F.pmod(F.xxhash64("url"), F.lit(2)) == 1)
