@@ -13,9 +13,15 @@ import numpy as np
 _BAND_CELLS = 1 << 22
 
 
+def rounded(values: np.ndarray) -> np.ndarray:
+    """Values that aren't negative, rounded half up; adding a half first would lift the largest number below a half."""
+    whole = np.floor(values)
+    return whole + (values - whole >= 0.5)
+
+
 def to_pixels(values: np.ndarray) -> np.ndarray:
-    """Rounded half away from zero and cut to 0..255."""
-    return np.clip(np.copysign(np.floor(np.abs(values) + 0.5), values), 0, 255).astype(np.uint8)
+    """Rounded half away from zero and cut to 0..255: negative values all become 0."""
+    return rounded(np.clip(values, 0, 255)).astype(np.uint8)
 
 
 def _valid(plane: np.ndarray, height: int, width: int) -> tuple[int, int]:
@@ -268,7 +274,7 @@ def signal_spectrum_image(samples: np.ndarray, width: int = 512, height: int = 2
     begin = columns * n // width
     end = np.minimum(n, np.maximum(begin + 1, (columns + 1) * n // width))
     tops = np.array([values[a:b].max(initial=0.0) for a, b in zip(begin, end, strict=True)])
-    bars = np.floor(scaled(tops, values.max()) / 255.0 * height + 0.5).astype(int)
+    bars = rounded(scaled(tops, values.max()) / 255.0 * height).astype(int)
     return np.where(height - 1 - np.arange(height)[:, None] < bars, 255, 0).astype(np.uint8)
 
 
@@ -296,8 +302,8 @@ def signal_plot(samples: np.ndarray, width: int = 512, height: int = 256) -> np.
     if low == high:
         low, high = low - 1.0, high + 1.0
     n = len(samples)
-    ys = np.clip(np.floor((high - np.append(samples, 0.0)) / (high - low) * (height - 1) + 0.5), 0, height - 1).astype(int)
-    xs = np.floor(np.arange(n) * (width - 1) / (n - 1) + 0.5).astype(int) if n > 1 else np.zeros(1, int)
+    ys = np.clip(rounded((high - np.append(samples, 0.0)) / (high - low) * (height - 1)), 0, height - 1).astype(int)
+    xs = rounded(np.arange(n) * (width - 1) / (n - 1)).astype(int) if n > 1 else np.zeros(1, int)
     out = np.zeros((height, width), np.uint8)
     out[ys[-1]] = 64
     out[ys[0], xs[0]] = 255
@@ -315,7 +321,7 @@ def histogram_image(counts: np.ndarray, width: int = 512, height: int = 256) ->
     top = counts.max()
     if top == 0:
         return out
-    bars = np.where(counts > 0, np.clip(np.floor(counts / top * height + 0.5), 1, height), 0).astype(int)
+    bars = np.where(counts > 0, np.clip(rounded(counts / top * height), 1, height), 0).astype(int)
     each = width // 256
     left = (width - 256 * each) // 2
     tall = np.repeat(bars, each)

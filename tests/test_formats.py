@@ -44,7 +44,7 @@ def test_tiff(order, strips):
     assert np.array_equal(formats.decode_gray(tiff(PLANE, order=order, strips=strips)), PLANE)
     assert np.array_equal(formats.decode_gray(tiff(PLANE, order=order, photometric=0)), 255 - PLANE)
     assert np.array_equal(formats.decode_rgb(tiff(RGB, order=order, photometric=2, strips=strips)), RGB)
-    assert np.array_equal(formats.decode_gray(tiff(RGB, photometric=2)), (299 * RGB[..., 0].astype(int) + 587 * RGB[..., 1] + 114 * RGB[..., 2] + 500) // 1000)
+    assert np.array_equal(formats.decode_gray(tiff(RGB, photometric=2)), (RGB.astype(int) @ [299, 587, 114] + 500) // 1000)
 
 
 @pytest.mark.parametrize("fields", [{259: [5]}, {258: [16]}, {284: [2]}, {262: [3]}, {339: [2]}, {279: [3]}, {273: [8, 9]}, {256: [0]}])
