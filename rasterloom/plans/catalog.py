@@ -621,11 +621,17 @@ def image_fft(spark, d):
     FROM {ORDERS} p, range(16) a(v), range(16) b(u) WHERE p.y < 10 AND p.x < 13 GROUP BY 1, 2"""
 )
 def image_fft_pixels(spark, d):
-    """Rows, then columns, of a corner of the raster."""
+    """Rows, then columns, of a corner of the raster; image_fft_pixels_tiles does whole tables."""
     corner = orders_raster(spark, d).where("y < 10 AND x < 13")
     return rounded(fourier.image_spectrum_pixels(corner, 16), "re", "im", digits=5)
 
 
+@query(ORACLE_SQL["image_fft"])
+def image_fft_pixels_tiles(spark, d):
+    """Rows, then columns, of every tile."""
+    return rounded(fourier.image_spectrum_pixels(embedding_tiles(spark, d), 8), "re", "im")
+
+
 @query(
     f"""WITH f AS (SELECT p.image_id, a.v, b.u, sum(p.v * cos(2 * pi() * ((a.v * p.y + b.u * p.x) % 8) / 8)) AS re, sum(p.v * sin(2 * pi() * ((a.v * p.y + b.u * p.x) % 8) / 8)) AS im FROM {TILES} p, range(8) a(v), range(8) b(u) GROUP BY 1, 2, 3),
     a AS (SELECT *, ln(1 + sqrt(re * re + im * im)) AS amplitude FROM f)

@@ -48,6 +48,11 @@ def test_query_equals_its_sql(spark, tables, name):
     assert got == sorted(str([plain(row[names.index(c)]) for c in columns]) for row in cursor.fetchall())
 
 
+def test_pixel_spectrum_is_of_the_whole_table(spark):
+    found = catalog.QUERIES["image_fft_pixels_tiles"](spark, SF).groupBy("image_id").count().collect()
+    assert len(found) == spark.read.parquet(f"{SF}/embeddings.parquet").count() and {r["count"] for r in found} == {64}
+
+
 @pytest.fixture
 def files(tmp_path):
     plane = np.random.default_rng(5).integers(0, 256, (20, 24)).astype(np.uint8)
