@@ -32,7 +32,8 @@ _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
 
 def ngrams(texts: list[str | None]):
     """For chunks of the texts: the first index, 4-gram codes, and for each text where its codes begin (and the end)."""
-    folded = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+    # a blank before each text, besides the newline after it, so that its first n-gram is its own
+    folded = [b" " + (t or "").lower().encode("utf-8", "replace") for t in texts]
     for first, last in batches_of(folded, _CHUNK):
         data, at = joined(folded[first:last])
         data = _FOLD[data]
@@ -42,7 +43,7 @@ def ngrams(texts: list[str | None]):
         blank = IS_SPACE[data]
         wide = data.astype(np.uint32)
         codes = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
-        inner = np.flatnonzero(~(blank[1:-2] | blank[2:-1]))  # so no n-gram reaches into the next text
+        inner = np.flatnonzero(~(blank[1:-2] | blank[2:-1]))  # two blanks stand between texts, so no n-gram reaches into the next
         yield first, codes[inner], np.searchsorted(inner, at)
 
 

@@ -76,3 +76,14 @@ def test_ngrams_stay_within_texts():
             own = [set(codes[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
             alone = [set(c.tolist()) for t in texts for _, c, _ in language_id.ngrams([t])]
             assert [o - set().union(*(x for k, x in enumerate(alone) if k != j)) <= alone[j] for j, o in enumerate(own)]
+
+
+def test_ngrams_of_a_text_do_not_depend_on_its_neighbours():
+    texts = ["x", "the cat", "ok", "", "a b", None, "ж", "und", "ab"]
+    for first, codes, at in language_id.ngrams(texts):
+        for k, text in enumerate(texts):
+            alone = [c for _, found, _ in language_id.ngrams([text]) for c in found.tolist()]
+            assert codes[at[k] : at[k + 1]].tolist() == alone, text
+    code = lambda gram: int.from_bytes(gram, "little")
+    assert [c for _, found, _ in language_id.ngrams(["ok"]) for c in found.tolist()] == [code(b" ok ")]
+    assert codes[at[1]] == code(b" the"[:4])
