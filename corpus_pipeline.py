@@ -17,8 +17,9 @@ from rasterloom.llm.queries import PIECE_MODEL
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled documents teach; those go that have no letter or share no n-gram with any.
+    """Documents with a letter: what is rejected are null texts and texts without any, the only ones that are `und`.
 
+    A short text, or one in a script that no labelled document has, counts to the language nearest to it and stays.
     Without any labelled document there is nothing to judge by, and all documents with a text stay.
     """
     model = languages.fit(docs)

@@ -4,8 +4,9 @@ Every language has a Bloom filter of its byte 4-grams; the filters are stored bi
 so one probe returns all languages that contain an n-gram. The popcounts per language of a text, less the false positives
 that the filters' fill predicts, decide.
 
-Defined results: null texts and texts without a letter are `und` with score 0; so are texts none of whose n-grams is known,
-and every text when nothing could be learned. Ties go to the language that sorts first. Rows are independent: repeated rows
+Defined results: null texts and texts without a letter are `und` with score 0, and so is every text when nothing could be
+learned. Texts with a letter none of whose n-grams is known get, with score 0, the language to whose bytes theirs are likeliest
+to belong, or the most frequent training language where no language has any of their bytes. Ties go to the language that sorts first. Rows are independent: repeated rows
 get equal results. Extra columns of the input are ignored, so their names can't clash.
 """
 
@@ -70,7 +71,7 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", doc
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     langs = sorted(counts)
     if not langs:
-        return {"langs": [], "filter": np.zeros((n_slots, 1), np.uint64), "rates": np.zeros(0)}
+        return {"langs": [], "filter": np.zeros((n_slots, 1), np.uint64), "rates": np.zeros(0), "letters": np.zeros((0, 256)), "usual": -1}
     whole = 1 << 30
     rate = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(whole, whole * docs_per_language // counts[lang]))])
     sample = known.where(F.pmod(F.xxhash64("text"), F.lit(whole)) < rate[F.col("lang")])
@@ -87,8 +88,10 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", doc
     words = (len(langs) + 63) // 64
     counted = sample.mapInArrow(count, "gram long, lang long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     # rates are relative to what the sample holds of each language, so they are summed before they are compared
-    sums = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    per = F.create_map(*[F.lit(x) for k in range(len(langs)) for x in (k, float(sums.get(k) or 1))])
+    letters = np.zeros((len(langs), 256))  # n-grams by their second byte, which isn't blank
+    for r in counted.groupBy("lang", F.shiftright("gram", 8).bitwiseAND(255).alias("byte")).agg(F.sum("n").alias("n")).collect():
+        letters[r.lang, r.byte] = r.n
+    per = F.create_map(*[F.lit(x) for k in range(len(langs)) for x in (k, float(letters[k].sum() or 1))])
     seen = counted.withColumn("rate", F.col("n") / per[F.col("lang").cast("int")])
     best = seen.groupBy("gram").agg(F.collect_list(F.struct("lang", "n", "rate")).alias("seen"), F.max("rate").alias("top"))
     members = best.select("gram", F.explode("seen").alias("s"), "top").where((F.col("s.n") >= least) & (F.col("s.rate") >= share * F.col("top"))).select("gram", F.col("s.lang").alias("lang"))
@@ -103,7 +106,8 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", doc
     filters = np.zeros((n_slots, words), np.uint64)
     filters[placed["slot"].to_numpy(), placed["word"].to_numpy()] = placed["bits"].to_numpy().astype(np.int64).view(np.uint64)
     fill = np.array([((filters[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(langs))])
-    return {"langs": langs, "filter": filters, "rates": fill**HASHES}
+    usual = max(range(len(langs)), key=lambda k: (counts[langs[k]], -k))
+    return {"langs": langs, "filter": filters, "rates": fill**HASHES, "letters": letters, "usual": usual}
 
 
 def score_texts(model: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,6 +140,16 @@ def score_texts(model: dict, texts: list[str | None]) -> tuple[np.ndarray, np.nd
     return best, score, cover
 
 
+def nearest(model: dict, text: str) -> int:
+    """The language of a text without a known n-gram: by its single bytes, else the most frequent one (-1: none)."""
+    letters = model["letters"]
+    data = _FOLD[np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)]
+    data = data[~IS_SPACE[data]]
+    if not len(letters) or not letters[:, data].any():
+        return model["usual"]
+    return int(np.log((letters[:, data] + 0.5) / (letters.sum(axis=1, keepdims=True) + 128)).sum(axis=1).argmax())
+
+
 def identify(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all by default) with lang_pred, score and coverage for each row.
 
@@ -156,6 +170,8 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list
             text = batch.column(place)
             best, score, cover = score_texts(model, text.to_pylist())
             lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            for k in np.flatnonzero(lettered & (best < 0)):
+                best[k] = nearest(model, text[int(k)].as_py())
             best, score, cover = np.where(lettered, best, -1), np.where(lettered, score, 0.0), np.where(lettered, cover, 0.0)
             score = np.where(best < 0, 0.0, score)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(names_of[best], pa.string()), pa.array(score), pa.array(cover)], [*names, "lang_pred", "score", "coverage"])

@@ -87,3 +87,13 @@ def test_ngrams_of_a_text_do_not_depend_on_its_neighbours():
     code = lambda gram: int.from_bytes(gram, "little")
     assert [c for _, found, _ in language_id.ngrams(["ok"]) for c in found.tolist()] == [code(b" ok ")]
     assert codes[at[1]] == code(b" the"[:4])
+
+
+def test_texts_with_letters_get_a_learned_language(spark):
+    train = [("the cat and the dog of that house", "en")] * 4 + [("кот и собака в том доме", "ru")] * 3
+    model = language_id.fit(spark.createDataFrame(train, "text string, lang string"))
+    rows = ["w", "qq", "ж", "ыы", "日本語", "123", None, "the cat"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, text string")
+    got = {r.k: (r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()}
+    assert [got[k][0] for k in range(8)] == ["en", "en", "ru", "ru", "en", "und", "und", "en"]
+    assert all(got[k][1] == 0 for k in range(7)) and got[7][1] > 0

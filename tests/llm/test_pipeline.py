@@ -75,3 +75,9 @@ def test_each_stage_on_edge_cases(spark, documents, name):
 @pytest.mark.parametrize("name", list(FUNCTIONS))
 def test_each_stage_without_rows(spark, documents, name):
     assert FUNCTIONS[name](spark, documents.limit(0), SF).count() == 0
+
+
+def test_language_stage_keeps_short_and_unlearned_texts(spark, documents):
+    texts = ["ok", "日本語", "ж", None, "123", "the cat of that house and this one is here"]
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in enumerate(texts)], documents.schema)
+    assert sorted(r.doc_id for r in FUNCTIONS["language ID"](spark, docs, SF).collect()) == [0, 1, 2, 5]
