@@ -168,8 +168,8 @@ def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, target_recall: float = 0.9999) -> DataFrame:
-    """id, class_id (least id among the texts that links connect), n_links (other rows linked to this one), a row for each row."""
+def _classes(docs: DataFrame, *, id_col: str, text_col: str, size: int = 5, threshold: float = 0.8, target_recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
+    """signatures() of docs, and key, root (one key for all that links connect), class_id and n_links for each shingle set."""
     bound_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, target_recall)
     signed = materialize(signatures(docs, id_col=id_col, text_col=text_col, size=size, bands=bands, rows=rows), "join-signatures")
@@ -218,10 +218,21 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     labelled = classes.join(joined_up, classes.key == joined_up.node, "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))
     named = materialize(labelled.join(links, "key", "left").select("key", "least", "root", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "join-named")
     names = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    final = named.join(names, "root").select("key", "class_id", "n_links")
+    return signed, named.join(names, "root").select("key", "root", "class_id", "n_links")
+
+
+def _rows(signed: DataFrame, final: DataFrame) -> DataFrame:
+    """id, class_id, n_links for each row of signed."""
     out = signed.where("key is not null").select("id", "key").join(final, "key").select("id", "class_id", "n_links")
-    alone = signed.where("key is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(alone).withColumnRenamed("id", id_col)
+    return out.unionByName(signed.where("key is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id, class_id (least id among the texts that links connect), n_links (other rows linked to this one), a row for each row.
+
+    The options size, threshold and target_recall are those of _classes.
+    """
+    return _rows(*_classes(docs, id_col=id_col, text_col=text_col, **options)).withColumnRenamed("id", id_col)
 
 
 def _bit_set(ids: DataFrame, n: int) -> np.ndarray:
@@ -270,19 +281,49 @@ def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.join(wanted.select("key").hint("merge"), "key", "left_semi").groupBy("key").agg(F.min("grams").alias("grams"))
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each class: the one with the least id. Rows without an id can't be named as copies and stay.
+def _one_each(rows: DataFrame, final: DataFrame, *, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Of rows whose id is null or stands in several rows: those that stay, told by id and shingle set.
 
-    What goes is told by id, which is little beside the texts: up to BROADCAST_IDS ids the texts aren't shuffled.
+    A class named by such an id keeps its row of that id with the least key; rows without an id leave one of their class, besides
+    the one with an id. Rows without shingles leave one of each id, and all without an id. Among rows of one id and set, the
+    least hash of the whole row stays, so a recomputation chooses the same.
     """
-    linked = link(docs, id_col=id_col, text_col=text_col, **options)
-    named = linked.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("other id"))
-    told = named.agg(F.max(F.col(id_col) == F.col("class_id")).alias("first"), F.count("*").alias("rows"))
-    # ids that go, and ids that stand in several rows, of which one stays
-    others = materialize(told.where(~F.col("first") | (F.col("rows") > 1)).select("other id", "first"), "join-others")
+    packed = rows.select(F.struct(*rows.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    schema = packed.select("row", "id").schema.add("key", "binary")
+
+    def sign(batches):
+        for batch in batches:
+            sets = shingle_sets([t or b"" for t in batch.column("text").to_pylist()], size)
+            keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(keys, pa.binary())], ["row", "id", "key"])
+
+    keyed = materialize(packed.mapInArrow(sign, schema), "join-unclear")
+    nameless = "id is null and key is null"
+    one = keyed.where(f"NOT ({nameless})").groupBy("id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    placed = one.join(final.select("key", "root", "class_id"), "key", "left").where("id is null or key is null or id = class_id")
+    first = placed.groupBy("root", "id").agg(F.min_by("row", "key").alias("by key"), F.first("row").alias("only"))
+    found = first.select(F.coalesce("by key", "only").alias("row"))  # without a key there is one row of an id
+    return found.unionByName(keyed.where(nameless).select("row")).select("row.*")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, **options) -> DataFrame:
+    """docs with one row of each class: the one with the least id, and one without an id where there are such rows.
+
+    What goes is told by id, which is little beside the texts: up to BROADCAST_IDS ids the texts aren't shuffled. Where an id is
+    null or stands in several rows, it is told by id and shingle set.
+    """
+    bound_batches(docs.sparkSession)
+    signed, final = _classes(docs, id_col=id_col, text_col=text_col, size=size, **options)
+    named = _rows(signed, final).where("id is not null").groupBy(F.col("id").alias("other id"))
+    told = named.agg(F.max(F.col("id") == F.col("class_id")).alias("first"), F.count("*").alias("rows"))
+    # ids that go, and ids that stand in several rows
+    others = materialize(told.where(~F.col("first") | (F.col("rows") > 1)).select("other id", (F.col("rows") > 1).alias("several")), "join-others")
+    several, nulls = others.where("several").limit(1).count() > 0, signed.where("id is null").limit(1).count() > 0
     if others.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         others = F.broadcast(others)
     same = F.col(id_col) == F.col("other id")
-    once = docs.join(others, same, "left_anti")
-    repeated = docs.join(others.where("first"), same, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(repeated)
+    once = docs.where(F.col(id_col).isNotNull()).join(others, same, "left_anti")
+    if not several and not nulls:
+        return once
+    unclear = docs.join(others.where("several"), same, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    return once.unionByName(_one_each(unclear, final, id_col=id_col, text_col=text_col, size=size))

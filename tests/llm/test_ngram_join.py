@@ -95,6 +95,15 @@ def test_deduplicate(spark):
     assert ngram_join.deduplicate(docs).columns == docs.columns
 
 
+def test_deduplicate_tells_repeated_and_null_ids_by_their_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (7, b), (5, c), (5, c + " "), (None, d), (None, d), (None, d + " "), (9, None), (9, None), (None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = [sorted(((r.doc_id, r.text) for r in ngram_join.deduplicate(docs.repartition(n)).collect()), key=str) for n in (1, 7)]
+    assert found[0] == found[1]
+    assert sorted(((i, t and t.strip()) for i, t in found[0]), key=str) == sorted([(1, a), (5, b), (5, c), (None, d), (9, None), (None, None)], key=str)
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert ngram_join.link(none).count() == ngram_join.deduplicate(none).count() == 0
