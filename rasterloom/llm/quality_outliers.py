@@ -2,16 +2,20 @@
 
 Each text gives a vector of transformed statistics: log(1 + words), log of the mean word length, and the square roots of the
 share of symbols and of the share of words in repeated three-word windows. For each language and source the minimum
-covariance determinant is approached by concentration steps: from a start at the medians and quartiles, the 75 % of rows
-nearest by Mahalanobis distance give a mean and a covariance, which give the next distances. A row is rejected if its last
-distance is beyond CUTOFF, the 0.99999 quantile of chi-square with 4 degrees. The covariance is multiplied by the consistency
-factor for 75 % and has FLOORS squared added, so statistics that hardly vary in a group don't reject ordinary texts.
-
-Distances are cut at whole bins of a fixed grid, so the subsets don't depend on how rows are dealt to tasks. Groups below
-LEAST_ROWS rows are judged with all such groups of their language; if those are too few as well, the method keeps the row.
+covariance determinant is approached by concentration steps over half of the group (h = (n + 5) / 2): from each of three
+starts, at the median and at the quantiles that are the median if a third of the group is junk above or below, the nearest rows
+by Mahalanobis distance give a mean and a covariance, which give the next distances, until the determinant stops falling. The
+start with the least determinant counts, and all rows within its 0.99 quantile give the last mean and covariance. A row is rejected if its distance is beyond CUTOFF, the 0.99999 quantile of
+chi-square with 4 degrees. The covariance is multiplied by the consistency factor for half; a variance below the square of its
+floor is raised to it, so statistics that hardly vary in a group don't reject ordinary texts.
+
+Rows with one and the same vector count once in the estimate, and each is judged: a point that holds a third of the rows would
+else make the least determinant the one around it. Distances are cut at whole bins of a fixed grid, so the subsets don't depend
+on how rows are dealt to tasks. Groups below LEAST_ROWS different vectors are judged by the estimate of their whole language;
+if that is too few as well, the method keeps the row.
 
 Defined results: a null text has no words and fails the base rule; null languages and sources are groups of their own;
-repeated rows count each time. Extra columns are ignored.
+repeated rows are judged each time. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +28,21 @@ from rasterloom.llm.common import SPACE_CHARS, materialize
 
 SYMBOLS = "#*$%&|<>"
 DIMENSIONS = ("x0", "x1", "x2", "x3")
-SUBSET, STEPS, LEAST_ROWS = 0.75, 3, 50
-#: Chi-square quantiles with 4 degrees (0.99999; median-free consistency factor of the 75 % subset).
-CUTOFF, CONSISTENCY = 28.47, 1.48
+LEAST_ROWS = 50
+#: Chi-square quantiles with 4 degrees (0.99999; consistency factor of half: 0.5 by the share of 6 degrees below the median of 4).
+CUTOFF, CONSISTENCY = 28.47, 2.11
+#: The quantile of 0.99 within which rows count in the end, and the consistency factor of what it leaves out.
+WITHIN, WITHIN_CONSISTENCY = 13.28, 1.03
+#: A determinant that falls by less, in logarithms, has stopped falling.
+FALL = 1e-3
+#: The group of all rows; no other name is without brackets.
+ALL_ROWS = "all"
 #: Groups up to which tables of one row a group are broadcast; beyond it, joins on the group shuffle.
 BROADCAST_GROUPS = 50_000
 #: Standard deviations below which a statistic's spread isn't told from none.
 FLOORS = (0.35, 0.08, 0.12, 0.12)
+#: Centre and quartiles of each start: of all rows, and without a third above or below.
+STARTS = ((1 / 2, 1 / 4, 3 / 4), (1 / 3, 1 / 6, 1 / 2), (2 / 3, 1 / 2, 5 / 6))
 
 
 def base_statistics(docs: DataFrame, *, id_col: str, text_col: str, group_cols: list[str]) -> DataFrame:
@@ -64,23 +76,25 @@ def _with_vector(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"x0": F.log1p("n_words"), "x1": F.log(chars / n), "x2": F.sqrt(F.col("n_symbols") / chars), "x3": F.sqrt(F.col("n_repeat_words") / n)})
 
 
-def _quantiles(counted: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
-    """From counts per bin: for each share the first bin that reaches it. The bins of a group are as many as the grid has."""
+def _quantiles(counted: DataFrame, by: list[str], least: dict[str, Column]) -> DataFrame:
+    """From counts per bin: for each number of rows the first bin that reaches it. The bins of a group are as many as the grid has."""
     upto = Window.partitionBy(*by).orderBy("bin")
     cum = counted.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
-    return cum.groupBy(*by).agg(*[F.min(F.when(F.col("upto") >= s * F.col("all"), F.col("bin"))).alias(name) for name, s in shares.items()])
+    return cum.groupBy(*by).agg(*[F.min(F.when(F.col("upto") >= n, F.col("bin"))).alias(name) for name, n in least.items()])
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Centre and a diagonal covariance for each group, from quartiles on a grid of hundredths."""
+    """Centre and a diagonal covariance for each group and start s, from quantiles on a grid of hundredths."""
     long = rows.select("g", F.posexplode(F.array(*DIMENSIONS)).alias("d", "x")).groupBy("g", "d", F.floor(F.col("x") * 100).alias("bin")).agg(F.count("*").alias("n"))
-    q = _quantiles(long, ["g", "d"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    q = _quantiles(long, ["g", "d"], {f"q{s}{k}": F.col("all") * (share - 1e-9) for s, shares in enumerate(STARTS) for k, share in enumerate(shares)})
+    starts = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), *[F.col(f"q{s}{k}").alias(f"q{k}") for k in range(3)]) for s in range(len(STARTS))]))
+    q = q.select("g", "d", starts.alias("start")).select("g", "d", "start.*")
     cols = []
     for k, floor in enumerate(FLOORS):
         this = F.col("d") == k
-        cols += [F.max(F.when(this, F.col("q2") / 100 + 0.005)).alias(f"m{k}"), F.max(F.when(this, F.pow((F.col("q3") - F.col("q1")) / 134.9, F.lit(2)) + floor * floor)).alias(f"c{k}{k}")]
-    start = q.groupBy("g").agg(*cols)
-    return start.select("g", *[f"m{k}" for k in range(4)], *[(F.col(f"c{i}{j}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(4) for j in range(i + 1)])
+        cols += [F.max(F.when(this, F.col("q0") / 100 + 0.005)).alias(f"m{k}"), F.max(F.when(this, F.pow(F.greatest((F.col("q2") - F.col("q1")) / 134.9, F.lit(floor)), F.lit(2)))).alias(f"c{k}{k}")]
+    start = q.groupBy("g", "s").agg(*cols)
+    return start.select("g", "s", *[f"m{k}" for k in range(4)], *[(F.col(f"c{i}{j}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(4) for j in range(i + 1)])
 
 
 def _cholesky(params: DataFrame) -> DataFrame:
@@ -91,12 +105,13 @@ def _cholesky(params: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return params.select("g", *[f"m{k}" for k in range(4)], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)])
+    return params
 
 
 def _distances(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance by their group's parameters; null where the group has none."""
-    factors = _cholesky(params)
+    of = ["s"] if "s" in params.columns else []
+    factors = _cholesky(params).select("g", *of, *[f"m{k}" for k in range(4)], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)])
     joined = rows.join(F.broadcast(factors) if few else factors, "g", "left")
     solved: list[Column] = []
     for i in range(4):
@@ -105,17 +120,42 @@ def _distances(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
             rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
         joined = joined.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
         solved.append(F.col(f"y{i}") * F.col(f"y{i}"))
-    return joined.withColumn("d2", solved[0] + solved[1] + solved[2] + solved[3]).select(*rows.columns, "d2")
+    return joined.withColumn("d2", solved[0] + solved[1] + solved[2] + solved[3]).select(*rows.columns, *of, "d2")
 
 
-def _concentrate(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
-    """One step: mean and covariance of the nearest 75 % of each group."""
-    binned = _distances(rows, params, few).withColumn("bin", F.floor(F.log(F.col("d2") + 0.001) * 100))
-    cut = _quantiles(binned.groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], {"cut": SUBSET})
-    near = binned.join(F.broadcast(cut) if few else cut, "g").where("bin <= cut")
+def _moments(rows: DataFrame, by: list[str], factor: float) -> DataFrame:
+    """Mean and covariance of each group, variances raised to their floors."""
     sums = [F.avg(x).alias(f"m{k}") for k, x in enumerate(DIMENSIONS)]
-    sums += [(F.covar_pop(f"x{i}", f"x{j}") * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(4) for j in range(i + 1)]
-    return near.groupBy("g").agg(*sums)
+    for i in range(4):
+        for j in range(i + 1):
+            c = F.covar_pop(f"x{i}", f"x{j}") * factor
+            sums.append((c + FLOORS[i] ** 2 if i == j else c).alias(f"c{i}{j}"))
+    return rows.groupBy(*by).agg(*sums)
+
+
+def _concentrate(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
+    """One step: mean, covariance and its log determinant of the nearest half of each group, for each of its starts in params."""
+    binned = _distances(rows, params, few).where("s is not null").withColumn("bin", F.floor(F.log(F.col("d2") + 0.001) * 100))
+    half = F.least(F.col("all"), F.floor((F.col("all") + 5) / 2))
+    cut = _quantiles(binned.groupBy("g", "s", "bin").agg(F.count("*").alias("n")), ["g", "s"], {"cut": half})
+    near = binned.join(F.broadcast(cut) if few else cut, ["g", "s"]).where("bin <= cut")
+    found = _moments(near, ["g", "s"], CONSISTENCY)
+    return _cholesky(found).select(*found.columns, (2 * sum(F.log(f"l{i}{i}") for i in range(4))).alias("logdet"))
+
+
+def _estimate(rows: DataFrame, few: bool) -> DataFrame:
+    """The mean and covariance of each group whose determinant is the least that the starts lead to."""
+    falling = materialize(_concentrate(rows, _start(rows), few), "quality-parameters")
+    reached = falling
+    while falling.limit(1).count():
+        before = falling.select("g", "s", F.col("logdet").alias("before"))
+        step = _concentrate(rows, falling, few).join(before, ["g", "s"]).where(F.col("logdet") < F.col("before") - FALL).drop("before")
+        falling = materialize(step, "quality-parameters")
+        reached = reached.unionByName(falling)
+    names = [c for c in reached.columns if c not in ("g", "s", "logdet")]
+    best = reached.groupBy("g").agg(F.min(F.struct("logdet", "s", *names)).alias("best"))
+    best = materialize(best.select("g", *[f"best.{c}" for c in names]), "quality-parameters")
+    return materialize(_moments(_distances(rows, best, few).where(F.col("d2") <= WITHIN), ["g"], WITHIN_CONSISTENCY), "quality-parameters")
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -125,14 +165,20 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gr
     language = name(F.col("g0"))
     own = F.to_json(F.array(language, name(F.col("g1"))))
     rows = rows.withColumn("own", own).withColumn("pool", F.to_json(F.array(language)))
-    sizes = materialize(rows.groupBy("own").agg(F.count("*").alias("own_rows")), "quality-groups")
+    vectors = materialize(rows.select("own", "pool", *DIMENSIONS).distinct(), "quality-vectors")
+    sizes = materialize(vectors.groupBy("own", "pool").agg(F.count("*").alias("own_rows")), "quality-groups")
     few = sizes.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    rows = rows.join(F.broadcast(sizes) if few else sizes, "own").withColumn("g", F.when(F.col("own_rows") >= LEAST_ROWS, F.col("own")).otherwise(F.col("pool"))).drop("own", "pool", "own_rows")
-    large = materialize(rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("g"), "quality-large")
-    judged = rows.join(F.broadcast(large) if few else large, "g", "left_semi")
-    params = materialize(_start(judged), "quality-parameters")
-    for _ in range(STEPS):
-        params = materialize(_concentrate(judged, params, few), "quality-parameters")
-    final = _distances(rows, params, few)
+    pools = sizes.groupBy("pool").agg(F.sum("own_rows").alias("pool_rows"))
+    g = F.when(F.col("own_rows") >= LEAST_ROWS, F.col("own")).otherwise(F.col("pool"))
+    judged_by = materialize(sizes.join(pools, "pool").select("own", g.alias("g")), "quality-judged-by")
+    wanted = judged_by.select("g").distinct()
+    wanted = F.broadcast(wanted) if few else wanted
+    # rows of the groups, languages and the whole that some group is judged by
+    candidates = [vectors.select(F.col("own").alias("g"), *DIMENSIONS).join(wanted, "g", "left_semi")]
+    candidates += [vectors.select(x.alias("g"), *DIMENSIONS).join(wanted, "g", "left_semi").distinct() for x in (F.col("pool"), F.lit(ALL_ROWS))]
+    taught = materialize(candidates[0].unionByName(candidates[1]).unionByName(candidates[2]), "quality-taught")
+    enough = taught.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("g")
+    params = _estimate(taught.join(F.broadcast(enough) if few else enough, "g", "left_semi"), few)
+    final = _distances(rows.join(F.broadcast(judged_by) if few else judged_by, "own"), params, few)
     inside = F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return final.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.sqrt("d2").alias("distance"))

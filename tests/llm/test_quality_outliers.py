@@ -86,3 +86,20 @@ def test_distances_are_mahalanobis(spark):
     got = {r.k: r.d2 for r in quality_outliers._distances(rows, params, True).collect()}
     wanted = [(v - mean) @ np.linalg.solve(cov, v - mean) for v in x]
     assert [got[k] for k in range(20)] == pytest.approx(wanted)
+
+
+def ordinary(rng, n, first, source, lang="en"):
+    return [(first + k, " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(rng.randint(80, 700))), lang, source) for k in range(n)]
+
+
+def verdicts(spark, rows):
+    return {r.doc_id: r.kept for r in quality_outliers.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_a_third_of_a_source_is_junk_copies(spark):
+    rng = random.Random(7)
+    long_words = " ".join("".join(rng.choices("abcdefgh", k=60)) for _ in range(200))
+    symbols = " ".join("".join(rng.choices("abcdefgh", k=3)) + "%%" for _ in range(200))
+    rows = ordinary(rng, 200, 0, "a") + ordinary(rng, 200, 200, "b") + [(1000 + k, long_words, "en", "a") for k in range(100)] + [(2000 + k, symbols, "en", "b") for k in range(100)]
+    kept = verdicts(spark, rows)
+    assert not any(kept[k] for k in kept if k >= 1000) and sum(kept[k] for k in range(400)) >= 398
