@@ -103,3 +103,15 @@ def test_a_third_of_a_source_is_junk_copies(spark):
     rows = ordinary(rng, 200, 0, "a") + ordinary(rng, 200, 200, "b") + [(1000 + k, long_words, "en", "a") for k in range(100)] + [(2000 + k, symbols, "en", "b") for k in range(100)]
     kept = verdicts(spark, rows)
     assert not any(kept[k] for k in kept if k >= 1000) and sum(kept[k] for k in range(400)) >= 398
+
+
+def test_symbols_and_repeats_decide_alone(spark):
+    rng = random.Random(8)
+    rows = ordinary(rng, 300, 0, "a")
+    for k, (share, repeats) in enumerate([(0.2, 0), (0.3, 0), (0.4, 0), (0, 0.3), (0, 0.45)]):
+        words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(300)]
+        words = [w + "%" * round(len(w) * share / (1 - share)) for w in words] if share else words
+        words[: round(300 * repeats)] = words[:3] * round(100 * repeats)
+        rows.append((1000 + k, " ".join(words), "en", "a"))
+    kept = verdicts(spark, rows)
+    assert not any(kept[k] for k in kept if k >= 1000) and sum(kept[k] for k in range(300)) >= 298
