@@ -11,8 +11,8 @@ floor is raised to it, so statistics that hardly vary in a group don't reject or
 
 Rows with one and the same vector count once in the estimate, and each is judged: a point that holds a third of the rows would
 else make the least determinant the one around it. Distances are cut at whole bins of a fixed grid, so the subsets don't depend
-on how rows are dealt to tasks. Groups below LEAST_ROWS different vectors are judged by the estimate of their whole language;
-if that is too few as well, the method keeps the row.
+on how rows are dealt to tasks. Groups below LEAST_ROWS different vectors are judged by the estimate of their whole language,
+and languages below it by that of all rows; if those are too few as well, the method keeps the row.
 
 Defined results: a null text has no words and fails the base rule; null languages and sources are groups of their own;
 repeated rows are judged each time. Extra columns are ignored.
@@ -169,7 +169,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gr
     sizes = materialize(vectors.groupBy("own", "pool").agg(F.count("*").alias("own_rows")), "quality-groups")
     few = sizes.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     pools = sizes.groupBy("pool").agg(F.sum("own_rows").alias("pool_rows"))
-    g = F.when(F.col("own_rows") >= LEAST_ROWS, F.col("own")).otherwise(F.col("pool"))
+    g = F.when(F.col("own_rows") >= LEAST_ROWS, F.col("own")).when(F.col("pool_rows") >= LEAST_ROWS, F.col("pool")).otherwise(F.lit(ALL_ROWS))
     judged_by = materialize(sizes.join(pools, "pool").select("own", g.alias("g")), "quality-judged-by")
     wanted = judged_by.select("g").distinct()
     wanted = F.broadcast(wanted) if few else wanted

@@ -115,3 +115,11 @@ def test_symbols_and_repeats_decide_alone(spark):
         rows.append((1000 + k, " ".join(words), "en", "a"))
     kept = verdicts(spark, rows)
     assert not any(kept[k] for k in kept if k >= 1000) and sum(kept[k] for k in range(300)) >= 298
+
+
+def test_small_groups_are_judged_by_their_language(spark):
+    rng = random.Random(9)
+    odd = " ".join("".join(rng.choices("abc", k=40)) for _ in range(200))
+    rows = ordinary(rng, 200, 0, "a") + ordinary(rng, 3, 200, "small") + [(1000, odd, "en", "small"), (1001, odd, "xx", "small")]
+    kept = verdicts(spark, rows)
+    assert not kept[1000] and not kept[1001] and all(kept[k] for k in range(200, 203))
