@@ -6,12 +6,15 @@ that the filters' fill predicts, decide.
 
 Defined results: null texts and texts without a letter are `und` with score 0, and so is every text when nothing could be
 learned. Texts with a letter none of whose n-grams is known get, with score 0, the language to whose bytes theirs are likeliest
-to belong, or the most frequent training language where no language has any of their bytes. Ties go to the language that sorts first. Rows are independent: repeated rows
-get equal results. Extra columns of the input are ignored, so their names can't clash.
+to belong, or the most frequent training language where no language has any of their bytes. Ties go to the language that sorts
+first. Of more than MOST_LANGUAGES values the rarest teach nothing. Rows are independent: repeated rows get equal results, and
+no text sees another's n-grams. Extra columns of the input are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,7 +25,7 @@ from rasterloom.llm.common import IS_SPACE, batches_of, bound_batches, joined, m
 
 UNDETERMINED = "und"
 HASHES = 3
-#: Languages at most; a slot has a 64-bit word for each 64 of them.
+#: Languages at most, the most frequent ones (rarer values of a dirty column teach nothing); a slot has a 64-bit word for each 64.
 MOST_LANGUAGES = 1024
 _CHUNK = 1 << 20
 
@@ -66,9 +69,7 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", doc
         raise ValueError("n_slots must be a power of two from 2**8 to 2**21")
     bound_batches(train.sparkSession)
     known = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     langs = sorted(counts)
     if not langs:
         return {"langs": [], "filter": np.zeros((n_slots, 1), np.uint64), "rates": np.zeros(0), "letters": np.zeros((0, 256)), "usual": -1}
@@ -154,28 +155,27 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list
     """The columns `keep` of docs (all by default) with lang_pred, score and coverage for each row.
 
     Columns of docs named lang_pred, score or coverage are replaced. score is the best language's share of all corrected
-    hits, coverage the share of the text's n-grams that the best language's filter holds.
+    hits, coverage the share of the text's n-grams that the best language's filter holds. The text goes to Python and three
+    small values come back; whatever columns are kept stay in the JVM.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     names = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score", "coverage")]
     shared = spark.sparkContext.broadcast(model)  # n_slots words of 8 bytes a 64 languages, whatever the input
-    place = names.index(text_col) if text_col in names else len(names)
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("coverage", "double")
 
-    def predict(batches):
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         names_of = np.array([*model["langs"], UNDETERMINED], dtype=object)
-        for batch in batches:
-            text = batch.column(place)
+        for text in batches:
             best, score, cover = score_texts(model, text.to_pylist())
             lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             for k in np.flatnonzero(lettered & (best < 0)):
                 best[k] = nearest(model, text[int(k)].as_py())
             best, score, cover = np.where(lettered, best, -1), np.where(lettered, score, 0.0), np.where(lettered, cover, 0.0)
             score = np.where(best < 0, 0.0, score)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(names_of[best], pa.string()), pa.array(score), pa.array(cover)], [*names, "lang_pred", "score", "coverage"])
+            yield pa.StructArray.from_arrays([pa.array(names_of[best], pa.string()), pa.array(score), pa.array(cover)], ["lang_pred", "score", "coverage"])
 
-    if text_col in names:  # so the text goes to Python once
-        return docs.select(*names).mapInArrow(predict, schema)
-    return docs.select(*names, F.col(text_col).alias("text to identify")).mapInArrow(predict, schema)
+    # not deterministic by declaration only: a filter on the verdict would else have every text judged twice
+    judge = F.arrow_udf(predict, "lang_pred string, score double, coverage double").asNondeterministic()
+    judged = docs.select(*names, judge(F.col(text_col)).alias("language verdict"))
+    return judged.select(*names, *[F.col(f"`language verdict`.{c}").alias(c) for c in ("lang_pred", "score", "coverage")])

@@ -1,9 +1,11 @@
 """The stages one after another, held against plain versions of what each promises."""
 
+import unicodedata
+
 import pytest
 
 import corpus_pipeline
-from rasterloom.llm import language_id, mixing, sentencepiece_viterbi
+from rasterloom.llm import mixing, sentencepiece_viterbi
 from tests.llm.test_ngram_join import brute
 from tests.llm.test_pii import plain
 
@@ -23,9 +25,7 @@ def test_stages_in_order():
 
 def test_all_stages(spark, documents):
     rows = {r.doc_id: r for r in documents.collect()}
-    model = language_id.fit(documents)
-    best, _, cover = language_id.score_texts(model, [r.text for r in rows.values()])
-    kept = [r for r, b, c in zip(rows.values(), best, cover, strict=True) if b >= 0 and c > 0]
+    kept = [r for r in rows.values() if any(unicodedata.category(c).startswith("L") for c in r.text or "")]
     one = FUNCTIONS["language ID"](spark, documents, SF)
     assert one.columns == COLUMNS and sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, kept), key=str)
 
