@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import pii
@@ -82,14 +84,88 @@ def test_empty_table_and_no_candidates(spark):
     assert pii.find(spark.createDataFrame([(1, "a@b.cc")], SCHEMA), {}).first().n_email == 1
 
 
-def test_estimation_finds_the_reliable_labelers():
-    good, bad = (1, 1, 1, 1), (-1, -1, 0, -1)
-    patterns = [("phone", good, 900), ("phone", (0, 0, 1, 1), 60), ("phone", bad, 800), ("phone", (-1, 1, 0, 1), 90)]
-    posterior = pii.estimate(patterns)["phone"]
-    assert posterior[good] > 0.9 and posterior[bad] < 0.1
-    weights = pii.train(patterns, {"phone": posterior})["phone"]
-    score = lambda v: weights[0] + sum(weights[1 + 2 * j + (x < 0)] for j, x in enumerate(v) if x)
-    assert score(good) > 0 > score(bad)
+def plain_posterior(rows, rounds=400):
+    """The mixture by loops: two classes, each labeler's votes independent in a class, pseudo-counts by the stated prior."""
+    total = sum(n for _, n in rows)
+    strength = pii.PRIOR_ROWS + pii.PRIOR_SHARE * total
+    abstain = [sum(n for v, n in rows if v[j] == 1) / total for j in range(4)]
+
+    def believed(y, j, vote):
+        err = pii.ERRS[pii.LABELERS[j]]
+        return abstain[j] if vote == 1 else (1 - abstain[j]) * (1 - err if (vote == 2) == (y == 0) else err)
+
+    rate = {(y, j, v): believed(y, j, v) for y in (0, 1) for j in range(4) for v in range(3)}
+    share = 0.5
+    for _ in range(rounds):
+        post = []
+        for v, _ in rows:
+            yes, no = share, 1 - share
+            for j in range(4):
+                yes *= rate[0, j, v[j]] + 1e-9
+                no *= rate[1, j, v[j]] + 1e-9
+            post.append(yes / (yes + no))
+        mass = [sum(n * p for (_, n), p in zip(rows, post)), sum(n * (1 - p) for (_, n), p in zip(rows, post))]
+        share = (mass[0] + pii.PRIOR_ROWS / 2) / (total + pii.PRIOR_ROWS)
+        rate = {(y, j, v): (sum(n * (p if y == 0 else 1 - p) for (w, n), p in zip(rows, post) if w[j] == v) + strength * believed(y, j, v)) / (mass[y] + strength) for y, j, v in rate}
+    return {v: p for (v, _), p in zip(rows, post)}
+
+
+VOTES = [((2, 2, 2, 2), 900), ((1, 1, 2, 2), 60), ((0, 0, 1, 0), 800), ((0, 2, 1, 2), 90), ((2, 0, 1, 0), 7), ((1, 2, 1, 0), 33)]
+
+
+def test_estimation_equals_a_plain_one():
+    got, wanted = pii.estimate([("phone", v, n) for v, n in VOTES])["phone"], plain_posterior(VOTES)
+    assert all(abs(got[v] - wanted[v]) < 1e-5 for v, _ in VOTES), (got, wanted)
+    assert got[2, 2, 2, 2] > 0.9 and got[0, 0, 1, 0] < 0.1
+
+
+def test_the_classifier_sees_more_than_votes():
+    """Two groups of candidates with the same unsure votes: what they look like tells them apart, by the votes of others that look so."""
+    good, bad, unsure = (2, 2, 2, 2), (0, 0, 1, 0), (1, 1, 1, 1)
+    seen = [("phone", (*good, 2, 2, 1, 1, 2), 500), ("phone", (*bad, 4, 4, 3, 3, 0), 500), ("phone", (*unsure, 2, 2, 1, 1, 0), 50), ("phone", (*unsure, 4, 4, 3, 3, 0), 50)]
+    posterior = pii.estimate([("phone", good, 500), ("phone", bad, 500), ("phone", unsure, 100)])["phone"]
+    bias, of = pii.train(seen, {"phone": posterior})["phone"]
+    score = lambda x: bias + sum(of[n][v] for n, v in zip(pii.FEATURES, x, strict=True))
+    assert score(seen[0][1]) > 0 > score(seen[1][1])
+    assert score(seen[2][1]) > score(seen[3][1])
+
+
+def redacted(text, spans):
+    out, at = [], 0
+    for s, e, kind in spans:
+        if s >= at:
+            out.append(text[at:s] + f"[{kind.upper()}]")
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_writes_what_the_spans_say(spark):
+    long = "é😀" * 700 + " a@b.cc " + "x" * 2000 + " 1.2.3.4 +1 (988) 555-2485 190.1.2.3 " + "y" * 511 + " b@c.dd"
+    docs = spark.createDataFrame([*enumerate(TEXTS), (90, long), (91, long * 3)], SCHEMA)
+    model = pii.fit(docs)
+    found = {r.doc_id: [(int(s), int(e), k) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)] for r in pii.find(docs, model).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in pii.redact(docs, model).collect():
+        text = texts[r.doc_id]
+        assert r.text == (text and redacted(text, found[r.doc_id])), r.doc_id
+    assert len(found[91]) >= 12
+
+
+@pytest.mark.parametrize("word", ["12, ", "a@b.cc ", "1.2.3.4 "])
+def test_cost_follows_the_length_of_a_text(spark, word):
+    """Many matches in one text: four times the text costs about four times as long, and 100,000 matches a matter of seconds."""
+    docs = spark.createDataFrame([(1, "a@b.cc 1.2.3.4")], SCHEMA)
+    model = pii.fit(docs)
+    took = {}
+    for n in (25_000, 100_000):
+        text = spark.createDataFrame([(1, word * n)], SCHEMA)
+        began = time.time()
+        row = pii.find(text, model).first()
+        clean = pii.redact(text, model).first().text
+        took[n] = time.time() - began
+        assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (n * (word[0] == "a"), n * (word[1] == "."), 0, 0)
+        assert clean == {"a": "[EMAIL] ", "1": "[IP] " if word[1] == "." else word}[word[0]] * n
+    assert took[100_000] < 25 and took[100_000] < 8 * took[25_000] + 2, took
 
 
 def test_redact(spark):
