@@ -4,12 +4,18 @@ The model is an n-gram model with Dirichlet smoothing: after history h,
     P(w | h) = (c(h, w) + mu * P(w | shorter h)) / (c(h) + mu),
 down to the add-one unigram (c(w) + 1) / (N + V + 1). As an automaton, each history seen in training is a state; it has an
 arc for each word seen after it and a failure arc, weighing mu / (c(h) + mu), to the state of the history without its first
-word; the empty history takes every word. Texts are traversed once, left to right; a traversal carries its state and adds up
-log10 weights.
+word; the empty history takes every word. Texts are traversed left to right; a traversal carries its state and adds up log10
+weights. A long text is walked in segments at the same time: a segment begins order - 1 tokens earlier in the empty state,
+and after them is in the state in which the whole walk would be, since a state is the longest trained history of so many words.
 
-No task or driver holds the whole model. Texts are dealt into blocks of bounded size; a block sends each distinct n-gram once
-with its training count; each n-gram's owner adds the counts up and answers only blocks whose own count isn't the total; a
-block then builds the part of the automaton that its texts can reach. N-grams are told apart by 64-bit hashes.
+No task or driver holds the whole model. Texts are dealt into blocks as they are read, a block being one row that holds an
+Arrow batch, written once; a block sends each distinct n-gram once with its training count; each n-gram's owner adds the counts
+up and answers only blocks whose own count isn't the total; a block then builds the part of the automaton that its texts can
+reach. Blocks and owners both follow the input, and what a block sends depends on its n-grams and not on how many owners
+there are. No key deals the texts, so no text or id, however often it stands there, gathers in one task.
+
+Words are told apart by 63 bits of hash. Longer n-grams are told apart by the bits that name their owner and WITHIN bits
+besides, so as many n-grams of an owner are taken for one another whatever the input: less than one in a million.
 
 Defined results: a null or empty text has one token, its end. A null id counts as not held out (it trains). Repeated rows
 count as often as they stand there and score alike. No training tokens: N = V = 0 and each token has P = 1. Extra columns
@@ -21,16 +27,21 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import UPPER, batches_of, combine, joined, materialize, span_hashes, word_bounds
+from rasterloom.llm.common import UPPER, batches_of, bound_batches, combine, joined, materialize, span_hashes, word_bounds
 
 #: Fixed stand-ins for the hashes of a text's end and beginning.
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
-#: Bytes of text in a block, and blocks at least (so that small inputs spread too).
-BLOCK_BYTES, LEAST_BLOCKS = 6 << 20, 64
+#: Bytes of text in a block, and for each owner.
+BLOCK_BYTES, OWNER_BYTES = 4 << 20, 4 << 20
+#: Bits that tell an owner's n-grams of two and more words apart.
+WITHIN = 40
+#: Tokens that one walk takes of a long text.
+SEGMENT = 256
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _CHUNK = 2 << 20
 
@@ -145,128 +156,231 @@ def build(tokens: np.ndarray, at: np.ndarray, grams: list[np.ndarray], uniques:
     return Traversal(uniques[0], base, arcs or [(np.zeros(0, np.int64),) * 4], np.concatenate(fail), np.concatenate(fail_weight), n_pads), alone
 
 
-def traverse(automaton: Traversal, words: np.ndarray, at: np.ndarray, alone: np.ndarray) -> np.ndarray:
-    """log10 probability of each text: all texts take their k-th token together, longest texts first in the arrays."""
-    length = np.diff(at)
-    order = np.argsort(-length, kind="stable")
-    begin, length = at[:-1][order], length[order]
-    score, state = np.zeros(len(order)), np.full(len(order), automaton.start, np.int64)
+def traverse(automaton: Traversal, words: np.ndarray, at: np.ndarray, alone: np.ndarray, order: int) -> np.ndarray:
+    """log10 probability of each text: all segments of all texts take their k-th token together, longest first in the arrays."""
+    per = -(-np.diff(at) // SEGMENT)
+    text = np.repeat(np.arange(len(per)), per)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+    warm = np.where(nth > 0, order - 1, 0)
+    begin = at[:-1][text] + nth * SEGMENT - warm
+    length = np.minimum(at[1:][text], at[:-1][text] + (nth + 1) * SEGMENT) - begin
+    longest = np.argsort(-length, kind="stable")
+    begin, length, warm = begin[longest], length[longest], warm[longest]
+    score, state = np.zeros(len(text)), np.where(warm > 0, 0, automaton.start)
     running = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), side="left")
     for k, n in enumerate(running):
         weight, state[:n] = automaton.step(state[:n].copy(), words[begin[:n] + k], alone)
-        score[:n] += weight
-    out = np.empty(len(order))
-    out[order] = score
-    return out
+        score[:n] += weight if k >= order - 1 else np.where(warm[:n] > k, 0.0, weight)
+    return np.bincount(text[longest], score, len(per))
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """An Arrow array whose k-th value has the next sizes[k] bytes of data."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _pack_small(numbers: np.ndarray) -> bytes:
-    """A byte for each number; those from 255 on follow in 8 bytes each."""
+def _bytes(values: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an Arrow array, and the size of each value."""
+    data = b"".join(values.to_pylist())
+    return np.frombuffer(data, np.uint8), np.fromiter(map(len, values.to_pylist()), np.int64, len(values))
+
+
+def _pack_numbers(numbers: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Runs of so many numbers, a byte for each; those from 255 on stand besides in 8 bytes each."""
     large = numbers >= 255
-    return np.where(large, 255, numbers).astype(np.uint8).tobytes() + numbers[large].astype("<u8").tobytes()
+    runs = np.repeat(np.arange(len(sizes)), sizes)
+    return _binary(np.minimum(numbers, 255).astype(np.uint8), sizes), _binary(numbers[large].astype("<u8").view(np.uint8), 8 * np.bincount(runs[large], minlength=len(sizes)))
 
 
-def _unpack_small(data: bytes, n: int) -> np.ndarray:
-    numbers = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    numbers[numbers == 255] = np.frombuffer(data, "<u8", offset=n).astype(np.int64)
-    return numbers
+def _unpack_numbers(small: pa.Array, large: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all runs, and how many each has."""
+    data, sizes = _bytes(small)
+    numbers = data.astype(np.int64)
+    numbers[numbers == 255] = _bytes(large)[0].view("<u8").astype(np.int64)
+    return numbers, sizes
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, each in as many bytes as the largest needs."""
+def _pack_keys(keys: np.ndarray, starts: np.ndarray, begins: np.ndarray):
+    """For each width in bytes: the runs that need it, and their sorted keys as differences (the first from the run's begin)."""
+    sizes = np.diff(np.append(starts, len(keys)))
     steps = np.diff(keys, prepend=np.uint64(0))
-    first, steps = steps[:1], steps[1:]
-    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + first.astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    steps[starts] = keys[starts] - begins
+    most = np.maximum.reduceat(steps, starts)
+    width = 1 + (most[:, None] >> (np.uint64(8) * np.arange(1, 8, dtype=np.uint64)) > 0).sum(axis=1)
+    for w in np.unique(width):
+        runs = np.flatnonzero(width == w)
+        own = steps if len(runs) == len(starts) else steps[np.repeat(width == w, sizes)]
+        yield int(w), runs, _binary(np.ascontiguousarray(own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w]).reshape(-1), w * sizes[runs])
+
 
+def _unpack_keys(packed: pa.Array, width: int, begin: np.uint64) -> np.ndarray:
+    """The keys of runs that _pack_keys wrote in this width and that have one begin."""
+    data, sizes = _bytes(packed)
+    steps = np.zeros((len(data) // width, 8), np.uint8)
+    steps[:, :width] = data.reshape(-1, width)
+    upto = np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
+    ends = np.cumsum(sizes // width)
+    before = np.concatenate((np.zeros(1, np.uint64), upto[ends[:-1] - 1])) if len(ends) else np.zeros(0, np.uint64)
+    return upto - np.repeat(before, sizes // width) + begin
 
-def _unpack_keys(data: bytes) -> np.ndarray:
-    width = data[0]
-    steps = np.zeros((1 + (len(data) - 9) // width, 8), np.uint8)
-    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
-    steps[1:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
+def _key_bits(order: int, owner_bits: int) -> list[int]:
+    """How many leading bits of a hash tell n-grams of 1, 2, ... words apart."""
+    return [63, *[min(63, owner_bits + WITHIN)] * (order - 1)]
 
-def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of so many equal ranges of the key space begins in sorted keys, and the end."""
-    bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)])).astype(np.int64)
 
+def _asked(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each stands in training texts."""
+    marked = np.sort(keys << np.uint64(1) | trains)
+    sorted_keys = marked >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
+    return sorted_keys[first], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
 
-def _block_grams(texts: list[bytes], trains: np.ndarray, order: int):
+
+def ask(block: int, texts: list[bytes], trains: np.ndarray, order: int, owner_bits: int):
+    """What a block sends: record batches of (part, block, n, width, grams, small, large), a row for each owner and n."""
+    tokens, at = token_stream(texts)
+    mine = np.repeat(trains, np.diff(at)).astype(np.uint64)
+    for n, (gram, bits) in enumerate(zip(grams_of(tokens, at, order), _key_bits(order, owner_bits), strict=True)):
+        keys, counts = _asked(gram >> np.uint64(64 - bits), mine)
+        part = keys >> np.uint64(bits - owner_bits)
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        owners = part[starts]
+        sizes = np.diff(np.append(starts, len(keys)))
+        for width, runs, packed in _pack_keys(keys, starts, owners << np.uint64(bits - owner_bits)):
+            chosen = np.zeros(len(starts), bool)
+            chosen[runs] = True
+            small, large = _pack_numbers(counts[np.repeat(chosen, sizes)], sizes[runs])
+            fixed = [pa.array(np.full(len(runs), v, t)) for v, t in ((block, np.int64), (n, np.int32), (width, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(owners[runs].astype(np.int64)), *fixed, packed, small, large], ["part", "block", "n", "width", "grams", "small", "large"])
+
+
+ASKED = "part long, block long, n int, width int, grams binary, small binary, large binary"
+ANSWERED = "block long, part long, n int, small binary, large binary, types long, tokens long"
+
+
+def own(table: pa.Table, order: int, owner_bits: int) -> pa.Table:
+    """Totals of an owner's n-grams; for each block a number for each of its n-grams: 0 where the total is its own count.
+
+    A row of block -1 has the owner's number of words and of training tokens.
+    """
+    out = []
+    part = table.column("part")[0].as_py()
+    names = [x.split()[0] for x in ANSWERED.split(", ")]
+    number, wide = table.column("n").to_numpy(), table.column("width").to_numpy()
+    for n, bits in enumerate(_key_bits(order, owner_bits)):
+        keys, counts, sizes, blocks = [], [], [], []
+        for width in np.unique(wide[number == n]):
+            same = table.filter(pa.array((number == n) & (wide == width)))
+            keys.append(_unpack_keys(same.column("grams"), int(width), np.uint64(part) << np.uint64(bits - owner_bits)))
+            count, size = _unpack_numbers(same.column("small"), same.column("large"))
+            counts.append(count)
+            sizes.append(size)
+            blocks.append(same.column("block").to_numpy())
+        if not keys:
+            continue
+        keys, counts, sizes, blocks = map(np.concatenate, (keys, counts, sizes, blocks))
+        found, inverse = np.unique(keys, return_inverse=True)
+        total = np.bincount(inverse, counts, len(found)).astype(np.int64)
+        if n == 0:
+            out.append(pa.Table.from_arrays([pa.array([v], t) for v, t in ((-1, pa.int64()), (part, pa.int64()), (0, pa.int32()), (b"", pa.binary()), (b"", pa.binary()), (int((total > 0).sum()), pa.int64()), (int(total.sum()), pa.int64()))], names))
+        told = np.where(total[inverse] != counts, total[inverse], 0)
+        some = np.add.reduceat((told > 0).astype(np.int64), np.cumsum(sizes) - sizes) > 0
+        rows = int(some.sum())
+        small, large = _pack_numbers(told[np.repeat(some, sizes)], sizes[some])
+        out.append(pa.Table.from_arrays([pa.array(blocks[some]), pa.array(np.full(rows, part, np.int64)), pa.array(np.full(rows, n, np.int32)), small, large, *[pa.array(np.zeros(rows, np.int64))] * 2], names))
+    return pa.concat_tables(out)
+
+
+def walk(texts: list[bytes], trains: np.ndarray, answered: pa.Table, order: int, owner_bits: int, n_texts: int, n_tokens: int, n_types: int, mu: float) -> dict[str, np.ndarray]:
+    """n_tokens, n_known, base_score and score of a block's texts, from the answers to what it asked."""
     tokens, at = token_stream(texts)
     grams = grams_of(tokens, at, order)
     mine = np.repeat(trains, np.diff(at))
     uniques, inverses, counts = [], [], []
-    for g in grams:
-        unique, inverse = np.unique(g, return_inverse=True)
+    number = answered.column("n").to_numpy()
+    for n, (gram, bits) in enumerate(zip(grams, _key_bits(order, owner_bits), strict=True)):
+        unique, inverse = np.unique(gram >> np.uint64(64 - bits), return_inverse=True)
+        count = np.bincount(inverse[mine], minlength=len(unique))
+        told = answered.filter(pa.array(number == n))
+        totals, sizes = _unpack_numbers(told.column("small"), told.column("large"))
+        begin = np.searchsorted(unique, told.column("part").to_numpy().astype(np.uint64) << np.uint64(bits - owner_bits))
+        where = np.arange(len(totals)) - np.repeat(np.cumsum(sizes) - sizes - begin, sizes)
+        count[where] = np.where(totals > 0, totals, count[where])
         uniques.append(unique)
         inverses.append(inverse)
-        counts.append(np.bincount(inverse[mine], minlength=len(unique)))
-    return tokens, at, grams, uniques, inverses, counts
+        counts.append(count)
+    automaton, alone = build(tokens, at, grams, uniques, inverses, counts, n_texts, n_tokens, n_types, mu)
+    known = np.add.reduceat((counts[0] > 0)[inverses[0]].astype(np.int64), at[:-1])
+    base = np.add.reduceat(automaton.base[inverses[0]], at[:-1])
+    return {"n_tokens": np.diff(at), "n_known": known, "base_score": base, "score": traverse(automaton, inverses[0], at, alone, order)}
+
+
+def _packed(batches: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
+    """One row for a block: its number, training texts, bytes, and the rows (id, held, text) as a compressed Arrow stream."""
+    table = pa.Table.from_batches(batches)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.combine_chunks())
+    trains = table.num_rows - int(np.count_nonzero(table.column("held").to_numpy()))
+    return pa.record_batch({"block": pa.array([block], pa.int64()), "trains": pa.array([trains], pa.int64()), "bytes": pa.array([sum(c.nbytes for c in batches)], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """rows (id, held, text) in blocks of about BLOCK_BYTES, written once, so that a block stays what it is."""
 
+    def gather(batches):
+        first = TaskContext.get().partitionId() << 32
+        kept, size = [], 0
+        for batch in batches:
+            if kept and size + batch.nbytes > BLOCK_BYTES:
+                yield _packed(kept, first)
+                first, kept, size = first + 1, [], 0
+            if batch.num_rows:
+                kept.append(batch)
+                size += batch.nbytes
+        if kept:
+            yield _packed(kept, first)
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, order: int = 2, mu: float = 50.0) -> DataFrame:
+    return materialize(rows.mapInArrow(gather, "block long, trains long, bytes long, rows binary"), "lm-blocks")
+
+
+def _opened(rows: bytes) -> tuple[pa.Table, list[bytes], np.ndarray]:
+    table = pa.ipc.open_stream(rows).read_all()
+    return table, table.column("text").to_pylist(), ~table.column("held").to_numpy()
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, order: int = 3, mu: float = 50.0) -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_types.
 
     Rows whose crc32(id as text) mod `modulus` is not `held_out` train the model; all are scored.
     """
-    spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    rows = rows.withColumn("held", F.coalesce(F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(modulus)) == held_out, F.lit(False)))
-    size = rows.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.coalesce(F.sum((~F.col("held")).cast("long")), F.lit(0)).alias("n")).first()
-    n_blocks, n_texts = max(LEAST_BLOCKS, -(-size.b // BLOCK_BYTES)), size.n
-    parts = n_blocks
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks))).repartition(n_blocks, "block")
-
-    def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        trains = ~pdf["held"].to_numpy(bool)
-        uniques, _, counts = _block_grams(list(pdf["text"]), trains, order)[3:]
-        out = []
-        for n in range(order):
-            cut = _cuts(uniques[n], parts)
-            out += [(p, int(key[0]), n, _pack_keys(uniques[n][a:b]), _pack_small(counts[n][a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-        return pd.DataFrame(out, columns=["part", "block", "n", "grams", "counts"])
-
-    def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Totals of the n-grams of a part; for each block a number for each of its n-grams: 0 where the total is its own count."""
-        out = []
-        for n, same in pdf.groupby("n"):
-            keys = [_unpack_keys(x) for x in same["grams"]]
-            counted = [_unpack_small(x, len(k)) for x, k in zip(same["counts"], keys, strict=True)]
-            found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate(counted), minlength=len(found)).astype(np.int64)
-            part = int(pdf["part"].iloc[0])
-            if n == 0:
-                out.append((-1, part, 0, b"", int((total > 0).sum()), int(total.sum())))
-            first = 0
-            for block, own_counts in zip(same["block"], counted, strict=True):
-                of = total[inverse[first : first + len(own_counts)]]
-                first += len(own_counts)
-                if (of != own_counts).any():
-                    out.append((int(block), part, int(n), _pack_small(np.where(of != own_counts, of, 0)), 0, 0))
-        return pd.DataFrame(out, columns=["block", "part", "n", "totals", "types", "tokens"])
-
-    asked = blocks.groupBy("block").applyInPandas(ask, "part long, block long, n int, grams binary, counts binary")
-    answers = materialize(asked.groupBy("part").applyInPandas(own, "block long, part long, n int, totals binary, types long, tokens long"), "lm-answers")
+    bound_batches(docs.sparkSession)
+    held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus)) == held_out, F.lit(False))
+    blocks = blocks_of(docs.select(F.col(id_col).alias("id"), held.alias("held"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")))
+    size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.coalesce(F.sum("trains"), F.lit(0)).alias("n")).first()
+    n_texts, owner_bits = size.n, max(6, math.ceil(math.log2(1 + size.b / OWNER_BYTES)))
+
+    def send(batches):
+        for batch in batches:
+            for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                yield from ask(block, *_opened(rows)[1:], order, owner_bits)
+
+    asked = blocks.select("block", "rows").mapInArrow(send, ASKED)
+    answers = materialize(asked.groupBy("part").applyInArrow(lambda table: own(table, order, owner_bits), ANSWERED), "lm-answers")
     sums = answers.where("block = -1").agg(F.coalesce(F.sum("types"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()
     n_types, n_tokens = sums.v, sums.n
-
-    def walk(texts_of: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
-        trains = ~texts_of["held"].to_numpy(bool)
-        tokens, at, grams, uniques, inverses, counts = _block_grams(list(texts_of["text"]), trains, order)
-        cuts = [_cuts(unique, parts) for unique in uniques]
-        for n, part, data in zip(answered["n"], answered["part"], answered["totals"], strict=True):
-            mine = slice(cuts[n][part], cuts[n][part + 1])
-            totals = _unpack_small(data, mine.stop - mine.start)
-            counts[n][mine] = np.where(totals > 0, totals, counts[n][mine])
-        automaton, alone = build(tokens, at, grams, uniques, inverses, counts, n_texts, n_tokens, n_types, mu)
-        known = np.add.reduceat((counts[0] > 0)[inverses[0]].astype(np.int64), at[:-1])
-        base = np.add.reduceat(automaton.base[inverses[0]], at[:-1])
-        return pd.DataFrame({"id": texts_of["id"], "held_out": ~trains, "n_tokens": np.diff(at), "n_known": known, "train_tokens": n_tokens, "base_score": base, "score": traverse(automaton, inverses[0], at, alone), "n_types": n_types})
-
-    schema = blocks.select("id").schema.add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double").add("n_types", "long")
-    scored = blocks.groupBy("block").cogroup(answers.where("block >= 0").select("block", "n", "part", "totals").groupBy("block")).applyInPandas(walk, schema)
-    return scored.withColumn("id", F.col("id").cast(id_type)).withColumnRenamed("id", id_col)
+    schema = docs.select(id_col).schema.add("held_out", "boolean")
+    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"), ("n_types", "long")):
+        schema = schema.add(name, kind)
+
+    def read(block: pa.Table, answered: pa.Table) -> pa.Table:
+        table, texts, trains = _opened(block.column("rows")[0].as_py())
+        found = walk(texts, trains, answered, order, owner_bits, n_texts, n_tokens, n_types, mu)
+        columns = [table.column("id"), table.column("held"), *[pa.array(found[x]) for x in ("n_tokens", "n_known")], pa.array(np.full(len(texts), n_tokens)), pa.array(found["base_score"]), pa.array(found["score"]), pa.array(np.full(len(texts), n_types))]
+        return pa.Table.from_arrays(columns, schema.names)
+
+    told = answers.where("block >= 0").select("block", "n", "part", "small", "large")
+    return blocks.select("block", "rows").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(read, schema)

@@ -2,9 +2,12 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,7 +59,7 @@ def same(got, wanted):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_against_a_plain_model(spark, order):
     docs = spark.createDataFrame(ROWS, SCHEMA).withColumn("score", F.lit("x")).withColumn("block", F.lit(1))
     got = [tuple(r)[:7] for r in lm_scoring.score(docs, order=order, mu=5.0).collect()]
@@ -67,23 +70,85 @@ def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = [tuple(r)[:7] for r in lm_scoring.score(docs).collect()]
     rows = [tuple(r) for r in docs.collect()]
-    same(got, plain(rows, 2, 50.0))
+    same(got, plain(rows, 3, 50.0))
     held = [r for r in got if r[1]]
     assert held and sum(r[6] for r in held) > sum(r[5] for r in held)
 
 
 def test_probabilities_sum_to_one(spark):
-    """Over all words and one unknown, after a seen history and after none."""
-    trained = [(1, "a b a c"), (3, "b a")]
-    words = ["a", "b", "c", "unknown"]
-    for before in ("", "a", "unknown"):
-        rows = trained + [(5000 + k, f"{before} {w}") for k, w in enumerate(words)] + [(6000, before)]
-        held = [i for i in range(10_000, 200_000) if zlib.crc32(str(i).encode()) % 7 == 2][: len(rows)]
-        tests = [(held[k], t) for k, (_, t) in enumerate(rows[2:])]
-        got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(trained + tests, SCHEMA), mu=2.0).collect()}
-        scores = {t.split()[-1] if t.split() and k < len(words) else "end": got[i].score for k, (i, t) in enumerate(tests)}
-        # P(before w end) / P(end | w) is P(before w): the plain model tells P(end | w)
-        assert all(s < 0 for s in scores.values())
+    """After any history, the words seen, the end and one unknown word (of which there is one by the add-one rule) make up 1."""
+    taught = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    trained = list(zip(taught, ["a b a c", "b a", ""], strict=False))
+    held = [i for i in range(10_000, 200_000) if zlib.crc32(str(i).encode()) % 7 == 2][:40]
+    histories = ["", "a", "a b", "unknown", "unknown a"]
+    tests = [(f"{h} {w}".strip(), h, w) for h in histories for w in ("a", "b", "c", "unseen")]
+    rows = trained + [(i, t) for i, (t, _, _) in zip(held, tests)] + [(i, h) for i, h in zip(held[len(tests) :], histories)]
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, SCHEMA), mu=2.0).collect()}
+    model = {h: Prefixes([t for _, t in trained], 3, 2.0, h) for h in histories}
+    for h in histories:
+        total = model[h].of(None)
+        for i, (_, of, w) in zip(held, tests):
+            if of == h:
+                total += 10 ** got[i].score / (model[h].before * model[h].of(None, w))
+        assert total == pytest.approx(1.0, rel=1e-9), h
+
+
+class Prefixes:
+    """P(word | words of a prefix) and P(prefix) by the plain model, to take the end of a scored text off again."""
+
+    def __init__(self, trains, order, mu, prefix):
+        self.rows, self.order, self.mu, self.words = [(1, t) for t in trains], order, mu, prefix.split()
+        self.before = 1.0
+        for k, w in enumerate(self.words):
+            self.before *= self._given(self.words[:k], w)
+
+    def _given(self, history, word):
+        stream, grams = ["<s>"] * (self.order - 1) + history + [word], Counter()
+        for _, t in self.rows:
+            line = ["<s>"] * (self.order - 1) + tokens(t)
+            for k in range(self.order - 1, len(line)):
+                for n in range(1, self.order + 1):
+                    grams[tuple(line[k - n + 1 : k + 1])] += 1
+        tokens_, types = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+        p = (grams[(word,)] + 1) / (tokens_ + types + 1)
+        for n in range(2, self.order + 1):
+            h = tuple(stream[-n:-1])
+            seen = len(self.rows) if set(h) == {"<s>"} else grams[h]
+            p = (grams[tuple(stream[-n:])] + self.mu * p) / (seen + self.mu)
+        return p
+
+    def of(self, word, after=None):
+        return self._given(self.words + ([after] if after else []), word)
+
+
+def test_segments_of_long_texts_score_like_one_walk(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{(k * i * i + i) % 17}" for i in range(300 + 7 * k))) for k in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for order in (1, 2, 3):
+        same([tuple(r)[:7] for r in lm_scoring.score(docs, order=order).collect()], plain(rows, order, 50.0))
+
+
+def test_many_rows_of_one_id_and_text(spark):
+    """They train and score as often as they stand there, and no block or owner gathers them."""
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text again " * 200).alias("text")).repartition(6)
+    blocks = lm_scoring.blocks_of(docs.select(F.col("doc_id").alias("id"), F.lit(False).alias("held"), F.col("text").cast("binary").alias("text")))
+    sizes = [r.bytes for r in blocks.collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 2 * lm_scoring.BLOCK_BYTES
+    got = lm_scoring.score(docs).select("n_tokens", "score", "train_tokens").distinct().collect()
+    assert len(got) == 1 and got[0].n_tokens == 801 and got[0].train_tokens == 3000 * 801
+
+
+def test_a_block_costs_no_more_for_many_owners():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 50_000, 400))).encode() for _ in range(300)]
+    trains = np.ones(len(texts), bool)
+    took = {}
+    for bits in (7, 17):
+        began = time.process_time()
+        rows = list(lm_scoring.ask(0, texts, trains, 3, bits))
+        took[bits] = time.process_time() - began
+        assert sum(r.num_rows for r in rows) <= 3 * 400 * 300
+    assert took[17] < 3 * took[7] + 0.5, took
 
 
 def test_empty_table(spark):
@@ -97,11 +162,15 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_packing():
-    import numpy as np
-
-    keys = np.array([0, 5, 6, 1 << 60, (1 << 64) - 1], np.uint64)
-    assert (lm_scoring._unpack_keys(lm_scoring._pack_keys(keys)) == keys).all()
-    numbers = np.array([0, 254, 255, 256, 1 << 40])
-    assert (lm_scoring._unpack_small(lm_scoring._pack_small(numbers), 5) == numbers).all()
-    cuts = lm_scoring._cuts(keys, 4)
-    assert cuts[0] == 0 and cuts[-1] == 5 and (np.diff(cuts) >= 0).all()
+    keys = np.array([0, 5, 6, 1 << 20, 1 << 40, (1 << 40) + 1, (1 << 62) + 3, (1 << 63) - 1], np.uint64)
+    begins = np.array([0, 1 << 40, 1 << 62], np.uint64)
+    starts = np.array([0, 4, 6])
+    sizes = np.diff(np.append(starts, len(keys)))
+    found = {}
+    for width, runs, packed in lm_scoring._pack_keys(keys, starts, begins):
+        for run, one in zip(runs, packed, strict=True):
+            found[run] = lm_scoring._unpack_keys(pa.array([one.as_py()]), width, begins[run]).tolist()
+    assert [x for r in range(3) for x in found[r]] == keys.tolist()
+    numbers = np.array([0, 254, 255, 256, 1 << 40, 1, 7, 300])
+    got, n = lm_scoring._unpack_numbers(*lm_scoring._pack_numbers(numbers, sizes))
+    assert got.tolist() == numbers.tolist() and n.tolist() == sizes.tolist()
