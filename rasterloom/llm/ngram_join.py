@@ -7,8 +7,11 @@ least the target recall. All pairs that meet are verified on their whole shingle
 
 Classes that meet are joined into candidate components by star edges (one per class and band, never all pairs), and each
 component's sets are verified in one task; a component with more than CHUNK_CLASSES classes or CHUNK_BYTES bytes is cut into
-chunks, and every pair of chunks is verified in a task of its own. A task returns a count of links for each class and a
-spanning forest of the links, so rows out grow with classes, not with pairs.
+chunks, and every pair of chunks is verified in a task of its own. A component of more than MOST_CHUNKS chunks, which may be
+a long chain in which few meet, is verified by (band, value) instead, with chunks only where so many classes meet in one;
+a pair that meets in several bands counts in the first. So a set is shuffled MOST_CHUNKS times, or once a band, unless more than
+CHUNK_CLASSES classes share a value with it. A task returns a count of links for each class and a spanning forest of the
+links, so rows out grow with classes, not with pairs.
 
 Words are runs of characters other than blanks; a text of one to four words has one shingle, all of it.
 Defined results: null and empty texts have no shingles, no links, and are classes of their own. Rows with one set (repeated
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import batches_of, bound_batches, combine, joined, materialize, mix, span_hashes, word_bounds
 from rasterloom.llm.components import connected_components
 
-CHUNK_CLASSES, CHUNK_BYTES = 512, 4 << 20
+CHUNK_CLASSES, CHUNK_BYTES = 256, 4 << 20
+#: Chunks up to which all pairs of chunks of a component are looked at.
+MOST_CHUNKS = 24
 #: Classes up to which a Bloom filter of their ids is broadcast, and its bits an id (before the next power of two).
 FILTER_IDS, BITS_PER_ID = 4_000_000, 16
 #: Ids up to which the table of what goes is broadcast.
@@ -142,12 +147,12 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray] | None, candidates:
     return out
 
 
-def _meet(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which pairs of rows agree in a band."""
+def _meet(left: np.ndarray, right: np.ndarray, band: int = -1) -> np.ndarray:
+    """Which pairs of rows agree in any band, or in this band and none before it."""
     out = np.zeros((len(left), len(right)), bool)
-    for k in range(left.shape[1]):
+    for k in range(left.shape[1] if band < 0 else band):
         out |= left[:, k, None] == right[None, :, k]
-    return out
+    return out if band < 0 else ~out & (left[:, band, None] == right[None, :, band])
 
 
 def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -168,30 +173,50 @@ def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return kept
 
 
+def _banded(bands: int):
+    """A row (band, value) for each band of hashes."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.cast("int").alias("band"), F.substr("hashes", 8 * k + 1, F.lit(8)).alias("value"))))
+
+
+def _dealt(members: DataFrame, bands: int) -> DataFrame:
+    """Where each of members (key, root, copies, bytes, hashes) is verified: root, band, chunks, chunk, key, copies, hashes.
+
+    Rows of one (root, band) are compared chunk by chunk; band is -1 for a whole component, else root is the band's value.
+    """
+    count, size = F.count("*").alias("n"), F.sum("bytes").alias("all_bytes")
+    n_chunks = F.greatest(F.ceil(F.col("n") / CHUNK_CLASSES), F.ceil(F.col("all_bytes") / CHUNK_BYTES)).cast("int").alias("chunks")
+    chunk = F.pmod(F.xxhash64("key"), "chunks").cast("int").alias("chunk")
+    names = ["root", "band", "chunks", chunk, "key", "copies", "hashes"]
+    sizes = members.groupBy("root").agg(count, size).select("root", n_chunks)
+    placed = members.join(sizes, "root").withColumn("band", F.lit(-1))
+    if not sizes.where(F.col("chunks") > MOST_CHUNKS).limit(1).count():
+        return placed.select(*names)
+    wide = placed.where(F.col("chunks") > MOST_CHUNKS).select("key", "copies", "bytes", "hashes", _banded(bands).alias("b")).select("key", "copies", "bytes", "hashes", "b.band", F.col("b.value").alias("root"))
+    meet = wide.groupBy("band", "root").agg(count, size).where("n > 1").select("band", "root", n_chunks)
+    return placed.where(F.col("chunks") <= MOST_CHUNKS).select(*names).unionByName(wide.join(meet, ["band", "root"]).select(*names))
+
+
 def _classes(docs: DataFrame, *, id_col: str, text_col: str, size: int = 5, threshold: float = 0.8, target_recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
     """signatures() of docs, and key, root (one key for all that links connect), class_id and n_links for each shingle set."""
     bound_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, target_recall)
     signed = materialize(signatures(docs, id_col=id_col, text_col=text_col, size=size, bands=bands, rows=rows), "join-signatures")
     classes = materialize(signed.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("bytes").alias("bytes"), F.min("hashes").alias("hashes")), "join-classes")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.substr("hashes", 8 * k + 1, F.lit(8)).alias("value"))))
-    met = classes.select("key", band.alias("b")).select("key", "b.band", "b.value")
+    met = classes.select("key", _banded(bands).alias("b")).select("key", "b.band", "b.value")
     first = met.groupBy("band", "value").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     edges = met.join(first, ["band", "value"]).where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
     grouped = connected_components(edges)
     members = materialize(grouped.join(classes, grouped.node == classes.key).select("key", "root", "least", "copies", "bytes", "hashes"), "join-members")
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes"))
-    n_chunks = F.greatest(F.ceil(F.col("n") / CHUNK_CLASSES), F.ceil(F.col("all_bytes") / CHUNK_BYTES)).cast("int")
-    chunked = members.join(sizes.select("root", n_chunks.alias("chunks")), "root").withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
+    chunked = _dealt(members, bands)
     # the sets themselves, from one text of each class that met another
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     wanted = members.select("key", F.col("least").alias("id"))
     spread = chunked.join(_sets(texts, wanted, size), "key")
     meeting = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("low"), F.greatest("chunk", k).alias("high"))))
-    tasks = spread.select("root", "chunk", "key", "copies", "hashes", "grams", meeting.alias("m")).select("root", "m.low", "m.high", "chunk", "key", "copies", "hashes", "grams")
+    tasks = spread.select("root", "band", "chunk", "key", "copies", "hashes", "grams", meeting.alias("m")).select("root", "band", "m.low", "m.high", "chunk", "key", "copies", "hashes", "grams")
 
     def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = key[1], key[2]
+        band, low, high = key[1:]
         pdf = pdf.sort_values("key").reset_index(drop=True)
         at = [np.flatnonzero(pdf["chunk"] == c) for c in dict.fromkeys((low, high))]
         if min(map(len, at)) == 0:
@@ -201,7 +226,7 @@ def _classes(docs: DataFrame, *, id_col: str, text_col: str, size: int = 5, thre
         copies, keys = pdf["copies"].to_numpy(), pdf["key"].to_numpy()
         links = np.zeros(len(pdf), np.int64)
         left, right = at[0], at[-1]
-        candidates = _meet(hashes[left], hashes[right])
+        candidates = _meet(hashes[left], hashes[right], band)
         if low == high:
             candidates = np.triu(candidates, 1)
         found = _linked([grams[i] for i in left], None if low == high else [grams[i] for i in right], candidates, threshold)
@@ -212,7 +237,7 @@ def _classes(docs: DataFrame, *, id_col: str, text_col: str, size: int = 5, thre
         some = np.flatnonzero(links)
         return pd.DataFrame({"key": [*keys[some], *(keys[i] for i, _ in forest)], "links": [*links[some].tolist(), *[0] * len(forest)], "to": [*[None] * len(some), *(keys[j] for _, j in forest)]}, dtype=object)
 
-    verified = materialize(tasks.groupBy("root", "low", "high").applyInPandas(verify, "key binary, links long, to binary"), "join-links")
+    verified = materialize(tasks.groupBy("root", "band", "low", "high").applyInPandas(verify, "key binary, links long, to binary"), "join-links")
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     joined_up = connected_components(verified.where("to is not null").select(F.col("key").alias("a"), F.col("to").alias("b")))
     labelled = classes.join(joined_up, classes.key == joined_up.node, "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))

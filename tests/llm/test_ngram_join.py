@@ -79,6 +79,28 @@ def test_groups_in_chunks(spark, monkeypatch):
     assert sorted((tuple(r) for r in ngram_join.link(docs).collect()), key=str) == wanted
 
 
+def test_components_of_many_chunks(spark, monkeypatch):
+    """The same links when large components are verified by (band, value): chains, near copies, and buckets cut into chunks."""
+    words = [f"c{k}" for k in range(400)]
+    chain = [(2000 + k, " ".join(words[2 * k : 2 * k + 60])) for k in range(120)]  # neighbours share 54 of 58 shingles
+    rows = near_copies(50, edits=5) + chain + near_copies(6, seed=9, first=900)
+    wanted = brute(rows)
+    monkeypatch.setattr(ngram_join, "CHUNK_CLASSES", 5)
+    monkeypatch.setattr(ngram_join, "MOST_CHUNKS", 2)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((tuple(r) for r in ngram_join.link(docs).collect()), key=str) == wanted
+
+
+def test_a_long_chain_sends_each_set_once_a_band_at_most(spark):
+    """50,000 classes of one component, of which each meets the next in one band: not all pairs of chunks."""
+    bands = 24
+    own = lambda k: F.concat(*[F.unhex(F.lpad(F.hex(F.when((F.col("id") + 1) % bands == b, F.col("id") + 1 + 10**9).when(F.col("id") % bands == b, F.col("id") + 10**9).otherwise(F.col("id") * 100 + b + 10**12)), 16, "0")) for b in range(bands)])
+    members = spark.range(50_000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("key"), F.lit(b"r").alias("root"), F.lit(1).cast("long").alias("copies"), F.lit(400).cast("long").alias("bytes"), own(0).alias("hashes"))
+    dealt = ngram_join._dealt(members, bands)
+    assert dealt.groupBy("key").agg(F.sum("chunks").alias("n")).agg(F.max("n")).first()[0] <= 2
+    assert dealt.groupBy("root", "band").count().agg(F.max("count")).first()[0] == 2
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
