@@ -10,7 +10,7 @@ If turns follow the last assistant turn (or there is none), a last example witho
 no turn is lost.
 
 Defined results: null texts and roles are empty; turns are ordered by (turn, role, text), nulls first, repeated rows kept;
-rows with a null conversation id form one conversation; no rows give no rows. Other columns are ignored.
+a row with a null conversation id is a conversation by itself, and is never gathered with others; no rows give no rows. Other columns are ignored.
 The result grows with the square of the turns of a conversation; that is what the method asks for.
 """
 
@@ -51,7 +51,8 @@ def expand(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
     """conv_id, example (from 0), formatted, loss_start and loss_end: code points of formatted, equal where nothing trains."""
     empty = F.lit("")
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, empty).alias("role"), F.coalesce(text_col, empty).alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = whole.unionByName(rows.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
     written = F.transform("turns", lambda t: F.struct((t["role"] == target_role).alias("target"), F.concat(F.lit(HEAD), escape(t["role"], line_feeds=True), F.lit("\n")).alias("head"), escape(t["text"]).alias("body")))
     whole = whole.select("conv_id", written.alias("turns"))
     indices = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda k: F.element_at("turns", k)["target"] | (k == F.size("turns")))
@@ -70,15 +71,17 @@ def expand(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
 
 
 def digest(examples: DataFrame) -> DataFrame:
-    """What can be read back from the examples of each conversation."""
+    """What can be read back from the examples of each conversation; each without an id has one example."""
     reply = unescape(F.substr("formatted", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
     read = examples.select("conv_id", "example", F.length("formatted").cast("long").alias("chars"), reply.alias("reply"), "formatted")
-    per = read.groupBy("conv_id").agg(
+    per = read.where("conv_id is not null").groupBy("conv_id").agg(
         F.max(F.struct("example", "formatted")).alias("longest"),
         F.sum("chars").alias("formatted_chars"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "reply"))), lambda e: e["reply"]), "").alias("loss"),
     )
-    per = per.select("conv_id", parse(F.col("longest.formatted")).alias("turns"), "formatted_chars", "loss")
+    per = per.select("conv_id", F.col("longest.formatted").alias("formatted"), "formatted_chars", "loss")
+    per = per.unionByName(read.where("conv_id is null").select("conv_id", "formatted", F.col("chars").alias("formatted_chars"), F.col("reply").alias("loss")))
+    per = per.select("conv_id", parse(F.col("formatted")).alias("turns"), "formatted_chars", "loss")
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return per.select(
         "conv_id",
@@ -93,18 +96,18 @@ def digest(examples: DataFrame) -> DataFrame:
 #: The digests in DuckDB SQL, for the table and one more conversation.
 DIGEST_SQL = """
 WITH rows_of AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT {probe}, 0, 'user', '{text}' UNION ALL SELECT {probe}, 1, 'assistant', '{text}'),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT {probe}, NULL, 0, 'user', '{text}' UNION ALL SELECT {probe}, NULL, 1, 'assistant', '{text}'),
 ranked AS (
-  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id, lone) AS n,
     replace(replace(replace(text, '\\', '\\\\'), '</turn>', '\\E'), '###', '\\H') AS body,
     replace(replace(replace(replace(role, '\\', '\\\\'), '</turn>', '\\E'), '###', '\\H'), chr(10), '\\N') AS head
-  FROM rows_of WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-running AS (SELECT *, sum(length(head) + length(body) + 13) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM ranked)
+  FROM rows_of WINDOW w AS (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, role, text)),
+running AS (SELECT *, sum(length(head) + length(body) + 13) OVER (PARTITION BY conv_id, lone ORDER BY k) AS upto FROM ranked)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '')) AS loss_sha256,
   sum(CASE WHEN role = 'assistant' OR k = n THEN upto END)::BIGINT AS formatted_chars
-FROM running GROUP BY conv_id
+FROM running GROUP BY conv_id, lone
 """

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed: the bytes that separate words.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -26,12 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that setting is absent."""
+    """The folder named by spark.checkpoint.dir; a local one only where that setting is absent and the session is local.
+
+    On a cluster without that setting there is no folder that executors share, and this raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isDefined():
             found = made.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             found = tempfile.mkdtemp(prefix="rasterloom-shared-")
             spark.sparkContext.setCheckpointDir(found)
@@ -69,6 +75,17 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(numbers: Column, join) -> Column:
+    """The running sums (or the like, by join) of an array: each pass joins what stands twice as far back."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30)]), lambda step: step < F.size(numbers))
+    return F.aggregate(steps, numbers, lambda sums, step: F.transform(sums, lambda x, i: F.when(i >= step, join(x, F.get(sums, i - step))).otherwise(x)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x.astype(np.uint64, copy=True)

@@ -3,8 +3,8 @@
 `decode` gives a row for each frame: when it appears, how long it stays, the composed RGBA canvas and the canvas's histograms.
 `encode_samples` writes 8-bit samples as a GIF of one grey palette, losslessly: 64 samples a line, as many frames as it takes.
 
-Defined results: a null or empty image and anything that isn't a GIF has no frames and an `error`; a file that breaks off
-keeps the frames before the break and says so. Delays under 2 hundredths stay as written. Rows are independent; extra columns
+Defined results: a null or empty image and anything that isn't a GIF has no frames and an `error`; a file that breaks off, or
+claims a canvas or frame of more than MOST_PIXELS, keeps the frames before and says so. Delays under 2 hundredths stay as written. Rows are independent; extra columns
 are ignored, frames refer to images by id.
 """
 
@@ -28,6 +28,8 @@ LINE, MOST_LINES = 64, 65_535
 #: Bins of each histogram.
 BINS = 8
 MOST_CODES = 4096
+#: Pixels of a canvas or frame that `decode` makes room for: a header of a few bytes may claim 4 thousand million.
+MOST_PIXELS = 1 << 24
 _GREY = bytes(x for k in range(256) for x in (k, k, k))
 
 FRAME_SCHEMA = T.StructType(
@@ -205,6 +207,9 @@ def frames(data: bytes | None):
         size = 3 << (flags & 7) + 1
         shared = np.frombuffer(data[at : at + size].ljust(size, b"\0"), np.uint8).reshape(-1, 3)
         at += size
+    if width * height > MOST_PIXELS:
+        yield {"error": f"a canvas of more than {MOST_PIXELS} pixels"}
+        return
     canvas = np.zeros((height, width, 4), np.uint8)
     delay = disposal = 0
     transparent, number, start = -1, 0, 0
@@ -224,6 +229,9 @@ def frames(data: bytes | None):
             return
         left, top, w, h, local = struct.unpack_from("<HHHHB", data, at + 1)
         at += 10
+        if w * h > MOST_PIXELS:
+            yield {"error": f"a frame of more than {MOST_PIXELS} pixels"}
+            return
         palette = shared
         if local & 0x80:
             size = 3 << (local & 7) + 1

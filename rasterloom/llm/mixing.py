@@ -3,7 +3,8 @@
 Each row's count inverts the Poisson distribution whose mean is its source's repetition rate,
     rate = weight / sum of weights * rows wanted / rows of the source,
 at a uniform number hashed from the seed and the row's id; the row is exploded into that many copies, and the copies are
-shuffled globally: dealt out by the hash of (seed, id, copy) and sorted by it within partitions.
+shuffled globally: dealt out by the hash of (seed, id, copy), with partitions that get too many rows of one place split, and
+sorted by it within partitions. The table of rates is written once, and broadcast only up to BROADCAST_BYTES by its own size.
 
 Defined results: a null source is a source of its own; rows with one id (repeated rows, null ids) get one count; a weight of
 0 gives no copies; an empty table gives an empty table. Sources without a stated weight get `default_weight`.
@@ -17,8 +18,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Sources up to which the table of rates is broadcast; beyond it the join shuffles, and skewed sources are split by AQE.
-BROADCAST_SOURCES = 50_000
+from rasterloom.llm.common import let, materialize, running
+
+#: Bytes up to which the table of rates is broadcast; beyond it the join shuffles, and skewed sources are split by AQE.
+BROADCAST_BYTES = 8 << 20
 
 
 def rates(docs: DataFrame, *, source_col: str, weights: dict | None = None, default_weight: float = 1.0, rows_wanted: int | None = None) -> DataFrame:
@@ -37,12 +40,9 @@ def rates(docs: DataFrame, *, source_col: str, weights: dict | None = None, defa
     stirling = k * F.log(k) - k + 0.5 * F.log(2 * math.pi * k) + 1 / (12 * k) - 1 / (360 * k * k * k)
     start = F.when(F.col("first") == 0, F.exp(-F.col("rate"))).otherwise(F.exp(k * F.log("rate") - F.col("rate") - stirling))
     rated = rated.withColumn("start", start)
-    cdf = F.aggregate(
-        F.sequence(F.col("first") + 1, F.col("last")),
-        F.struct(F.col("start").alias("p"), F.array("start").alias("cdf")),
-        lambda acc, j: F.struct((acc["p"] * F.col("rate") / j).alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * F.col("rate") / j)).alias("cdf")),
-        lambda acc: acc["cdf"],
-    )
+    # P(first), then the factors from each count to the next: their running products are the probabilities
+    factors = F.concat(F.array("start"), F.transform(F.sequence(F.col("first") + 1, F.col("last")), lambda j: F.col("rate") / j))
+    cdf = let(running(factors, lambda a, b: a * b), lambda p: running(p, lambda a, b: a + b))
     return rated.select("source", "rate", "first", cdf.alias("cdf"))
 
 
@@ -53,9 +53,10 @@ def uniform(seed: int, id_col):
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", weights: dict | None = None, default_weight: float = 1.0, rows_wanted: int | None = None, seed: int = 42) -> DataFrame:
     names = [c for c in docs.columns if c not in ("copy", "place")]
-    table = rates(docs, source_col=source_col, weights=weights, default_weight=default_weight, rows_wanted=rows_wanted)
+    table = materialize(rates(docs, source_col=source_col, weights=weights, default_weight=default_weight, rows_wanted=rows_wanted), "mixing-rates")
+    size = table.agg(F.coalesce(F.sum(64 + F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + 8 * F.size("cdf")), F.lit(0))).first()[0]
     table = table.select(F.struct(*table.columns).alias("rate of source"))
-    if docs.select(source_col).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    if size <= BROADCAST_BYTES:
         table = F.broadcast(table)
     rated = docs.select(*names).join(table, F.col(source_col).eqNullSafe(F.col("rate of source.source")))
     drawn = uniform(seed, F.col(id_col))
@@ -64,7 +65,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     copies = F.when(F.col("rate of source.rate") > 0, copies).otherwise(F.lit(0)).cast("int")
     spread = rated.select(*names, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))).alias("copy"))
     place = F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string")))
-    return spread.withColumn("place", place).repartition("place").sortWithinPartitions("place")
+    # rows of one id and copy have one place; AQE splits the partition that many of them would fill
+    return spread.withColumn("place", place).hint("rebalance", "place").sortWithinPartitions("place")
 
 
 #: The same in DuckDB SQL, for equal weights and seed 42.

@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import let, running
+
 KINDS = ("email", "ip", "card", "phone", "ssn")
 BASE_KINDS = KINDS[:4]
 LABELERS = ("format", "gazetteer", "context", "edges")
@@ -94,17 +96,6 @@ def _votes(kind: str, name: str, m: Column, before: Column, after: Column) -> tu
     return base, format_vote, gazetteer, context, edges
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once however often body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def _running(numbers: Column, join) -> Column:
-    """The running sums (or the like, by join) of an array: each pass joins what stands twice as far back."""
-    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30)]), lambda step: step < F.size(numbers))
-    return F.aggregate(steps, numbers, lambda sums, step: F.transform(sums, lambda x, i: F.when(i >= step, join(x, F.get(sums, i - step))).otherwise(x)))
-
-
 def _digits(m: Column) -> Column:
     return F.length(F.regexp_replace(m, "[^0-9]", ""))
 
@@ -137,7 +128,7 @@ def _placed(matched: Column, between: Column, name: str, kind: str) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("rank"), (x["e"] - F.length(x["m"])).alias("s"), x["e"].alias("e"), base.alias("base"), *[v.cast("int").alias(n) for n, v in told.items()]).cast(_ITEM)
 
     sizes = F.transform(matched, lambda m, i: F.length(F.get(between, i)) + F.length(m))
-    found = _let(_running(sizes, lambda a, b: a + b), cut)
+    found = let(running(sizes, lambda a, b: a + b), cut)
     if name in ("card", "phone"):
         least, most = (12, 21) if name == "card" else (7, 1 << 30)
         found = F.filter(found, lambda x: _digits(x["m"]).between(least, most))
@@ -241,7 +232,7 @@ def with_spans(docs: DataFrame, weights: dict[str, tuple[float, dict[str, list[f
     kept = F.filter(out_col, lambda c: _accepted(weights, c))
     kept = F.sort_array(F.transform(kept, lambda c: F.struct(c["s"].alias("s"), c["rank"].alias("rank"), c["e"].alias("e"), (~c["base"]).alias("other"), c["kind"].alias("kind"), c["base"].alias("base"))))
     place = lambda x: F.struct(x["s"], x["rank"], x["e"])
-    return rows.withColumn(out_col, _let(kept, lambda spans: F.filter(spans, lambda x, i: (i == 0) | (place(x) != place(F.get(spans, i - 1))))))
+    return rows.withColumn(out_col, let(kept, lambda spans: F.filter(spans, lambda x, i: (i == 0) | (place(x) != place(F.get(spans, i - 1))))))
 
 
 def _written(spans: Column) -> Column:
@@ -290,7 +281,7 @@ def redact(docs: DataFrame, weights: dict[str, tuple[float, dict[str, list[float
             kept = F.transform(told, lambda x: F.concat(_piece_of(pieces, x["at"], x["s"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
             return F.concat(F.array_join(kept, ""), _piece_of(pieces, F.element_at(ends, -1), F.length(text)))
 
-        return _let(_running(F.transform(spans, lambda x: x["e"]), lambda a, b: F.greatest(a, b)), after)
+        return let(running(F.transform(spans, lambda x: x["e"]), lambda a, b: F.greatest(a, b)), after)
 
-    clean = _let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)), written)
+    clean = let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)), written)
     return rows.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).select(*docs.columns)

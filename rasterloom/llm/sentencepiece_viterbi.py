@@ -14,6 +14,7 @@ Extra columns pass through `encode` untouched; ids and n_ids are replaced.
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -28,7 +29,9 @@ UNKNOWN_PENALTY = 10.0
 MARK = "▁"
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Words kept per task, and characters of text taken together.
-_CACHE_WORDS, _CHUNK = 400_000, 2 << 20
+_CACHE_WORDS, _CHUNK = 250_000, 1 << 20
+#: Characters from which on a word is searched by itself: eight bytes a character are kept of it, and no scores to share.
+LONG_WORD = 2000
 
 
 def load_vocabulary(model_path: str) -> dict:
@@ -77,6 +80,9 @@ def encode_words(words: list[str], vocabulary: dict, trie: dict) -> dict[str, li
     best, back, opened = [0.0], [(0, None)], [()]
     path, root_of = "", trie.get
     for word in sorted(words):
+        if len(word) > LONG_WORD:
+            out[word] = _encode_long(word, vocabulary, trie)
+            continue
         shared, most = 0, min(len(path), len(word))
         while shared < most and path[shared] == word[shared]:
             shared += 1
@@ -117,6 +123,43 @@ def encode_words(words: list[str], vocabulary: dict, trie: dict) -> dict[str, li
     return out
 
 
+def _encode_long(word: str, vocabulary: dict, trie: dict) -> list[int]:
+    """The same search over one word; scores are let go as soon as no open piece begins there."""
+    byte_ids, unknown, root_of = vocabulary["bytes"], vocabulary["unknown"], trie.get
+    starts, chosen = array("i", [0]), array("i", [-1])
+    best, opened = 0.0, []
+    for depth, char in enumerate(word):
+        node, still = root_of(char), []
+        top, start, last = best + unknown, depth, -1
+        if node is not None:
+            score, k, kids = node
+            if score is not None:
+                top, last = best + score, k
+            if kids is not None:
+                still.append((best, depth, kids))
+        for begun, at, kids in opened:
+            node = kids.get(char)
+            if node is not None:
+                score, k, kids = node
+                if score is not None and begun + score > top:
+                    top, start, last = begun + score, at, k
+                if kids is not None:
+                    still.append((begun, at, kids))
+        starts.append(start)
+        chosen.append(last)
+        best, opened = top, still
+    pieces, depth = [], len(word)
+    while depth:
+        start, k = starts[depth], chosen[depth]
+        if k < 0:
+            pieces.extend(byte_ids[b] for b in reversed(word[start:depth].encode("utf-8", "surrogatepass")))
+        else:
+            pieces.append(k)
+        depth = start
+    pieces.reverse()
+    return pieces
+
+
 class Encoder:
     """Encodes texts of one task; remembers up to _CACHE_WORDS words."""
 

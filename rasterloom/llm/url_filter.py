@@ -6,8 +6,8 @@ The model has one weight for each of 2**BITS buckets; n-grams of SIZES bytes of
 and path apart, each counting once per url, scaled to unit length. It is trained on the driver from a labelled table of at most
 MOST_LABELLED urls by full-batch gradient steps with per-weight rates, so training is deterministic.
 
-Defined results: a null url, or one without `://`, has empty host and path, and is judged by the model's bias alone. Rows are
-independent; extra columns are kept by `judge`, apart from those it adds (host, path, rule, verdict, probability).
+Defined results: a null url, or one without `://`, has empty host and path, and is judged by the model's bias alone. N-grams
+with U+0000 or a line feed don't count. Rows are independent; extra columns are kept by `judge`, apart from those it adds (host, path, rule, verdict, probability).
 """
 
 from __future__ import annotations
@@ -45,11 +45,12 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 def features(hosts: list[str], paths: list[str]):
     """For chunks of urls: first index, bucket of each distinct n-gram of each url, and where each url begins (and the end)."""
     texts = [f"{h}\x00{p}".encode("utf-8", "surrogatepass") for h, p in zip(hosts, paths, strict=True)]
+    host_bytes = np.fromiter((len(h.encode("utf-8", "surrogatepass")) for h in hosts), np.int64, len(hosts))
     for first, last in batches_of(texts, _CHUNK):
         data, at = joined(texts[first:last])
         wide = data.astype(np.uint64)
         owner = np.repeat(np.arange(last - first), np.diff(at))
-        in_path = np.cumsum(data == 0) > owner  # past the url's zero byte
+        in_path = np.arange(len(data)) > (at[:-1] + host_bytes[first:last])[owner]  # past the zero byte after the host
         keys = []
         for size in SIZES:
             n = len(data) - size + 1

@@ -32,7 +32,6 @@ def conversations():
     out[101] = [(0, "assistant", "a"), (1, "assistant", "b"), (2, "user", "tail")]
     out[102] = [(0, "user", "x"), (0, "assistant", "x"), (0, "assistant", "x"), (None, None, "?")]
     out[103] = [(0, "sys\ntem</turn>\\", "x"), (1, "Assistant", "no target"), (2, "assistant", "yes")]
-    out[None] = [(5, "user", "n"), (6, "assistant", "m")]
     return out
 
 
@@ -44,6 +43,14 @@ def test_digests(spark):
     assert got == {c: expected(t) for c, t in given_turns.items()}
 
 
+def test_rows_without_a_conversation_stand_by_themselves(spark):
+    rows = [(None, 5, "user", "n"), (None, 6, "assistant", "m"), (None, 6, "assistant", "m"), (1, 0, "assistant", "x")]
+    examples = chat_format.expand(spark.createDataFrame(rows, SCHEMA))
+    got = sorted((r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.digest(examples.where("conv_id is null")).collect())
+    assert got == sorted((None, *expected([r[1:]])) for r in rows[:3])
+    assert chat_format.digest(examples).count() == 4
+
+
 def test_examples(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "user", "</turn>"), (1, 3, "assistant", "a#b"), (1, 4, "user", "bye")], SCHEMA)
     rows = chat_format.expand(turns).orderBy("example").collect()

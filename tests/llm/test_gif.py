@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -118,6 +119,20 @@ def test_decode_table(spark):
     assert gif.decode(spark.createDataFrame([], "image_id string, gif binary")).count() == 0
 
 
+def test_headers_that_claim_more_than_there_is(spark):
+    """796 bytes that ask for a canvas of 65,535 x 65,535, or for such a frame: an error row, and no room made for it."""
+    head = struct.pack("<HHBBB", 65_535, 65_535, 0xF7, 0, 0)
+    canvas = (b"GIF89a" + head + bytes(768) + struct.pack("<BHHHHB", 0x2C, 0, 0, 1, 1, 0) + b"\x02\x00").ljust(796, b"\0")
+    small = b"GIF89a" + struct.pack("<HHBBB", 4, 4, 0xF7, 0, 0) + bytes(768)
+    framed = small + struct.pack("<BHHHHB", 0x2C, 0, 0, 65_535, 65_535, 0) + b"\x08\x00\x3b"
+    tracemalloc.start()
+    assert [list(gif.frames(x)) for x in (canvas, framed)] == [[{"error": f"a {n} of more than {gif.MOST_PIXELS} pixels"}] for n in ("canvas", "frame")]
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
+    found = gif.decode(spark.createDataFrame([("a", bytearray(canvas)), ("b", bytearray(framed))], "image_id string, gif binary")).collect()
+    assert len(found) == 2 and all("pixels" in r.error and r.frame is None for r in found)
+
+
 def test_long_texts_take_several_frames():
     payload = random.Random(1).randbytes(64) * 70_000
     data = gif.encode_samples(payload)

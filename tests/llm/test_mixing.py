@@ -74,10 +74,24 @@ def test_weights_are_met(spark):
 def test_without_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"s{k % 5}" if k % 5 else None, "x") for k in range(100)], SCHEMA)
     wanted = sorted(map(str, mixing.mix(docs).collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 100)
     assert sorted(map(str, mixing.mix(docs).collect())) == wanted
 
 
+def test_rows_of_one_place_are_split(spark, tmp_path):
+    """Rows with a null id have one place a copy; they don't fill one partition."""
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.sha2(F.col("id").cast("string"), 512).alias("text")).repartition(8)
+    wanted = drawn(uniform(42, None), 1.0)
+    mixed = mixing.mix(docs, rows_wanted=20_000 if wanted else 60_000)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        mixed.write.parquet(f"{tmp_path}/mixed")
+        sizes = [r[1] for r in spark.read.parquet(f"{tmp_path}/mixed").groupBy(F.input_file_name()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(sizes) >= 4 and max(sizes) < 0.5 * sum(sizes)
+
+
 def test_edge_cases(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(none).count() == 0

@@ -1,6 +1,8 @@
 """Shared-prefix segmentation against a plain search, and exact round trips."""
 
+import random
 import re
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -95,6 +97,24 @@ def test_forgetting_words(vocabulary, monkeypatch):
     assert flat.tolist() == [i for ids in encode(texts + texts, vocabulary) for i in ids] and n.sum() == len(flat)
 
 
+def test_long_words_are_found_the_same_way(vocabulary, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice(["the", "ing", "日", "é", "x", "ation", "7", " "[:0]]) for _ in range(40)) for _ in range(30)]
+    wanted = encode(words, vocabulary)
+    monkeypatch.setattr(sv, "LONG_WORD", 3)
+    assert encode(words, vocabulary) == wanted
+
+
+def test_a_word_of_a_million_characters_takes_little_memory(vocabulary):
+    word = "abcdefgh日" * 120_000
+    trie = sv.piece_trie(vocabulary)
+    tracemalloc.start()
+    ids = sv.encode_words([word], vocabulary, trie)[word]
+    assert tracemalloc.get_traced_memory()[1] < 40 * len(word)
+    tracemalloc.stop()
+    assert sv.decode_ids(ids, vocabulary["spelled"]) == word
+
+
 def test_table(spark):
     rows = [(k, t, "x") for k, t in enumerate(TEXTS)] + [(100, None, "x"), (1, TEXTS[1], "x"), (None, "null id", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
