@@ -1,6 +1,7 @@
 """Command line: one subcommand for each operator, over one image file or many (a folder or a glob).
 
-With many inputs, outputs are folders and files in them are named after the inputs. Exit codes: 0, 1 for errors in the data,
+With many inputs, outputs are folders that hold files as the inputs lie below theirs, written by the tasks themselves. Pictures
+are written as their file's ending says (PNG in folders). Exit codes: 0, 1 for errors in the data,
 2 for usage.
 """
 
@@ -8,10 +9,14 @@ from __future__ import annotations
 
 import argparse
 import math
+import os
 import sys
+import uuid
+from collections import Counter
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +24,8 @@ from rasterloom.functions import kernels
 from rasterloom.operators import blocks, components, cooccurrence, filters, fourier, quality, statistics
 from rasterloom.operators.frames import info, to_images, to_pixels
 from rasterloom.plans import experiments
-from rasterloom.sources import readers, sinks
-
-#: Decimals of doubles in JSON, by command.
-DIGITS = {"stats": 10, "classify-blocks": 10, "restore-halftone": 10, "components": None}
+from rasterloom.sources import documents, formats, readers, sinks
+from rasterloom.sources.documents import fixed
 
 
 def positive_size(text: str) -> int:
@@ -47,49 +50,72 @@ def not_negative(text: str) -> float:
 
 
 def _images(spark: SparkSession, path: str) -> DataFrame:
-    own = path.lower().rsplit(".", 1)[-1] in ("pgm", "png", "tif", "tiff")
-    many = Path(path).is_dir() or "*" in path
-    if own or many:
-        return readers.read_images(spark, path)
-    return readers.read_other_images(spark, path)
+    return readers.read_images(spark, path)
 
 
-def _targets(names: list[str], output: str, ending: str) -> dict[str, Path]:
-    """Where each input's result goes."""
-    if len(names) == 1 and not Path(output).is_dir():
-        return {names[0]: Path(output)}
-    folder = Path(output)
-    return {n: folder / f"{Path(unquote(urlparse(n).path)).stem}{ending}" for n in names}
+def _local(name: str) -> str:
+    """The path of a file that Spark names by URI."""
+    return unquote(urlparse(name).path)
 
 
-def _write(rows: DataFrame, column: str, output: str | None, ending: str) -> None:
-    """One file a row; rows come to the driver one partition at a time."""
-    if output is None:
-        return
-    names = [r.image_id for r in rows.select("image_id").distinct().collect()]
+def _targets(spark: SparkSession, source: str, output: str, ending: str) -> dict[str, str]:
+    """Where each input's result goes: one file, or below a folder as the inputs lie below theirs. Only names come to the driver."""
+    names = sorted(_local(r.path) for r in spark.read.format("binaryFile").load(source).select("path").collect())
     if not names:
         raise ValueError("nothing was read")
-    targets = _targets(names, output, ending)
-    for row in rows.toLocalIterator():
-        target = targets[row.image_id]
-        target.parent.mkdir(parents=True, exist_ok=True)
-        data = row[column]
-        target.write_bytes(data.encode() + b"\n" if isinstance(data, str) else bytes(data))
+    if len(names) == 1 and not Path(output).is_dir() and not Path(source).is_dir():
+        return {names[0]: output}
+    root = os.path.commonpath([os.path.dirname(n) for n in names])
+    found = {n: str(Path(output, os.path.relpath(n, root)).with_suffix(ending)) for n in names}
+    clashing = [t for t, k in Counter(found.values()).items() if k > 1]
+    if clashing:
+        raise ValueError(f"several inputs would be written to {clashing[0]}")
+    return found
+
+
+def _write(rows: DataFrame, column: str, source: str, output: str | None, ending: str) -> None:
+    """One file a row, written by the tasks that make them: the folder must be one that all machines share."""
+    if output is None:
+        return
+    targets = _targets(rows.sparkSession, source, output, ending)
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(*(batch.column(c).to_pylist() for c in ("image_id", column)), strict=True):
+                target = Path(targets[_local(name)])
+                target.parent.mkdir(parents=True, exist_ok=True)
+                part = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+                part.write_bytes(data.encode() if isinstance(data, str) else bytes(data))
+                part.replace(target)  # whole or not at all, however often a task runs
+                yield pa.record_batch({"written": [str(target)]})
+
+    written = rows.select("image_id", column).mapInArrow(run, "written string").count()
+    if written != len(targets):
+        raise ValueError(f"{len(targets)} inputs gave {written} outputs")
 
 
-def _png(images: DataFrame, output: str | None) -> None:
+def _ending(output: str) -> str:
+    """The ending of an image file, which says how it is written; PNG in folders."""
+    ending = Path(output).suffix if not Path(output).is_dir() else ""
+    formats.encoder(ending or ".png")
+    return ending or ".png"
+
+
+def _picture(images: DataFrame, source: str, output: str | None) -> None:
     if output is not None:
-        _write(sinks.png_files(images), "png", output, ".png")
+        _write(sinks.image_files(images, _ending(output)), "file", source, output, _ending(output))
 
 
-def _png_rgb(pixels: DataFrame, output: str | None) -> None:
+def _picture_rgb(pixels: DataFrame, source: str, output: str | None) -> None:
     if output is not None:
-        _write(sinks.png_files_rgb(pixels), "png", output, ".png")
+        _write(sinks.image_files_rgb(pixels, _ending(output)), "file", source, output, _ending(output))
 
 
-def _json(rows: DataFrame, output: str | None, digits: int | None = 12) -> None:
+def _json(rows: DataFrame, layout, number, source: str, output: str | None) -> None:
+    """Documents; a layout's strings for inputs are paths, not URIs."""
     if output is not None:
-        _write(sinks.json_documents(rows, digits=digits), "json", output, ".json")
+        plain = documents.documents(rows, lambda row: layout(row | {"image_id": _local(row["image_id"])}), number)
+        _write(plain, "json", source, output, ".json")
 
 
 def run_info(spark, a):
@@ -103,56 +129,56 @@ def run_stats(spark, a):
     counts = statistics.histogram(pixels)
     listed = counts.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "cnt"))), lambda x: x["cnt"]).alias("histogram"))
     stats = statistics.from_histogram(counts)
-    nested = stats.withColumn("quartiles", F.struct("q1", "q2", "q3")).drop("q1", "q2", "q3")
-    _json(images.select("image_id", "width", "height").join(nested, "image_id").join(listed, "image_id"), a.output, DIGITS["stats"])
-    _png(statistics.histogram_images(counts), a.histogram_output)
+    _json(images.select("image_id", "width", "height").join(stats, "image_id").join(listed, "image_id"), documents.statistics_layout, fixed(10), a.input, a.output)
+    _picture(statistics.histogram_images(counts), a.input, a.histogram_output)
 
 
 def run_glcm(spark, a):
-    glcm = cooccurrence.cooccurrence_of_images(_images(spark, a.input), a.dr, a.dc)
+    images = _images(spark, a.input)
+    glcm = cooccurrence.cooccurrence_of_images(images, a.dr, a.dc)
     cells = glcm.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("first", "second", "cnt"))).alias("pairs"))
-    _json(cooccurrence.energy(glcm).join(cells, "image_id"), a.output)
+    _json(images.select("image_id", "width", "height").join(cooccurrence.energy(glcm), "image_id").join(cells, "image_id"), documents.cooccurrence_layout, fixed(12), a.input, a.output)
     if a.matrix_output is not None:
-        _png(to_images(cooccurrence.rendered(glcm)), a.matrix_output)
+        _picture(to_images(cooccurrence.rendered(glcm)), a.input, a.matrix_output)
 
 
 def run_noise(spark, a):
-    _png(filters.gaussian_noise(_images(spark, a.input), a.variance, a.seed), a.output)
+    _picture(filters.gaussian_noise(_images(spark, a.input), a.variance, a.seed), a.input, a.output)
 
 
 def run_psnr(spark, a):
-    one = F.lit("pair").alias("image_id")
-    pair = [_images(spark, p).select(one, "width", "height", "pixels") for p in (a.original, a.distorted)]
-    found = quality.quality_of_images(*pair).withColumn("original", F.lit(a.original)).withColumn("distorted", F.lit(a.distorted))
-    _json(found, a.output)
+    name = _images(spark, a.original).select("image_id").first().image_id
+    pair = [_images(spark, p).select(F.lit(name).alias("image_id"), "width", "height", "pixels") for p in (a.original, a.distorted)]
+    _json(quality.quality_of_images(*pair), documents.quality_layout(a.original, a.distorted), fixed(12), a.original, a.output)
 
 
 def run_signal_plot(spark, a):
-    _png(fourier.signal_plots(readers.read_signals(spark, a.input)), a.output)
+    _picture(fourier.signal_plots(readers.read_signals(spark, a.input)), a.input, a.output)
 
 
 def run_signal_spectrum(spark, a):
-    _png(fourier.signal_spectrum_images(readers.read_signals(spark, a.input)), a.output)
+    _picture(fourier.signal_spectrum_images(readers.read_signals(spark, a.input)), a.input, a.output)
 
 
 def run_image_spectrum(spark, a):
-    _png(fourier.image_spectrum_images(_images(spark, a.input)), a.output)
+    _picture(fourier.image_spectrum_images(_images(spark, a.input)), a.input, a.output)
 
 
 def run_rotate(spark, a):
-    _png(filters.rotate(_images(spark, a.input), a.angle, a.method), a.output)
+    _picture(filters.rotate(_images(spark, a.input), a.angle, a.method), a.input, a.output)
 
 
 def run_compare(spark, a):
-    _json(sinks.nested(experiments.rotation_report(_images(spark, a.input), a.angle, timed=True), "methods"), a.output, None)
+    images = _images(spark, a.input)
+    _json(experiments.rotation_rows(images, a.angle, timed=True), documents.rotation_layout(a.angle), fixed(12), a.input, a.output)
 
 
 def run_convolve(spark, a):
-    _png(filters.convolve(_images(spark, a.input), readers.parse_kernel(readers.read_text(spark, a.kernel))), a.output)
+    _picture(filters.convolve(_images(spark, a.input), readers.parse_kernel(readers.read_text(spark, a.kernel))), a.input, a.output)
 
 
 def run_threshold_lowpass(spark, a):
-    _png(filters.threshold_low_pass(_images(spark, a.input), a.kernel_size, a.threshold), a.output)
+    _picture(filters.threshold_low_pass(_images(spark, a.input), a.kernel_size, a.threshold), a.input, a.output)
 
 
 def _noise_amount(a) -> float:
@@ -165,27 +191,30 @@ def _noise_amount(a) -> float:
 def run_lowpass_denoise(spark, a):
     images, amount = _images(spark, a.input), _noise_amount(a)
     noisy = experiments.add_noise(images, a.noise, amount, a.seed)
-    _png(noisy, a.noisy_output)
-    _png(filters.low_pass(noisy, a.kernel_size) if a.threshold is None else filters.threshold_low_pass(noisy, a.kernel_size, a.threshold), a.filtered_output)
-    _json(experiments.low_pass_report(images, a.noise, amount, a.kernel_size, threshold=a.threshold, seed=a.seed), a.metrics_output)
+    _picture(noisy, a.input, a.noisy_output)
+    _picture(filters.low_pass(noisy, a.kernel_size) if a.threshold is None else filters.threshold_low_pass(noisy, a.kernel_size, a.threshold), a.input, a.filtered_output)
+    layout = documents.low_pass_layout(a.noise, amount, a.seed, a.kernel_size, a.threshold, noisy=a.noisy_output, filtered=a.filtered_output)
+    _json(experiments.low_pass_report(images, a.noise, amount, a.kernel_size, threshold=a.threshold, seed=a.seed), layout, fixed(12), a.input, a.metrics_output)
 
 
 def run_laplacian(spark, a):
-    _png(filters.laplacian(_images(spark, a.input), a.kernel_size, a.kernel), a.output)
+    _picture(filters.laplacian(_images(spark, a.input), a.kernel_size, a.kernel), a.input, a.output)
 
 
 def run_log_filter(spark, a):
-    _png(filters.laplacian_of_gaussian(_images(spark, a.input), a.kernel_size, a.sigma), a.output)
+    _picture(filters.laplacian_of_gaussian(_images(spark, a.input), a.kernel_size, a.sigma), a.input, a.output)
 
 
 def run_zero_crossing(spark, a):
     images = _images(spark, a.input)
-    _png(filters.zero_crossing(images, a.kernel_size, a.sigma), a.output)
-    _json(filters.zero_crossing_report(images, a.kernel_size, a.sigma), a.metrics_output)
+    _picture(filters.zero_crossing(images, a.kernel_size, a.sigma), a.input, a.output)
+    told = filters.zero_crossing_report(images, a.kernel_size, a.sigma).withColumns({"kernel_size": F.lit(a.kernel_size), "sigma": F.lit(float(a.sigma))})
+    sized = images.select("image_id", F.col("width").alias("original_width"), F.col("height").alias("original_height"))
+    _json(sized.join(told, "image_id"), documents.zero_crossing_layout(a.output), fixed(12), a.input, a.metrics_output)
 
 
 def run_sharpen(spark, a):
-    _png(filters.sharpen(_images(spark, a.input), a.kernel_size, a.amount), a.output)
+    _picture(filters.sharpen(_images(spark, a.input), a.kernel_size, a.amount), a.input, a.output)
 
 
 def _aperture(spark, a):
@@ -193,51 +222,57 @@ def _aperture(spark, a):
 
 
 def run_rank(spark, a):
-    _png(filters.rank_filter(_images(spark, a.input), _aperture(spark, a), a.rank), a.output)
+    _picture(filters.rank_filter(_images(spark, a.input), _aperture(spark, a), a.rank), a.input, a.output)
 
 
 def run_trimmed_mean(spark, a):
-    _png(filters.trimmed_mean(_images(spark, a.input), _aperture(spark, a), a.trimmed_count), a.output)
+    _picture(filters.trimmed_mean(_images(spark, a.input), _aperture(spark, a), a.trimmed_count), a.input, a.output)
 
 
 def run_morphology(spark, a):
-    _png(filters.morphology(_images(spark, a.input), _aperture(spark, a), a.operation), a.output)
+    _picture(filters.morphology(_images(spark, a.input), _aperture(spark, a), a.operation), a.input, a.output)
 
 
 def run_compare_denoise(spark, a):
     images, mask, amount = _images(spark, a.input), _aperture(spark, a), _noise_amount(a)
     noisy = experiments.add_noise(images, a.noise, amount, a.seed)
-    _png(noisy, a.noisy_output)
-    _png(filters.rank_filter(noisy, mask, "median"), a.median_output)
-    _png(filters.trimmed_mean(noisy, mask, a.trimmed_count), a.trimmed_output)
-    _json(experiments.rank_report(images, a.noise, amount, mask, a.trimmed_count, seed=a.seed), a.metrics_output)
+    _picture(noisy, a.input, a.noisy_output)
+    _picture(filters.rank_filter(noisy, mask, "median"), a.input, a.median_output)
+    _picture(filters.trimmed_mean(noisy, mask, a.trimmed_count), a.input, a.trimmed_output)
+    layout = documents.rank_layout(a.noise, amount, a.seed, mask.astype(int).tolist(), a.trimmed_count, noisy=a.noisy_output, median=a.median_output, trimmed_mean=a.trimmed_output)
+    _json(experiments.rank_report(images, a.noise, amount, mask, a.trimmed_count, seed=a.seed), layout, fixed(12), a.input, a.metrics_output)
 
 
 def run_otsu(spark, a):
-    pixels = to_pixels(_images(spark, a.input))
-    _png(to_images(statistics.otsu_binarize(pixels)), a.output)
-    _json(statistics.otsu(pixels), a.metrics_output)
+    images = _images(spark, a.input)
+    pixels = to_pixels(images)
+    _picture(to_images(statistics.otsu_binarize(pixels)), a.input, a.output)
+    _json(images.select("image_id", "width", "height").join(statistics.otsu(pixels), "image_id"), documents.otsu_layout(a.output), fixed(12), a.input, a.metrics_output)
 
 
 def run_components(spark, a):
     images = _images(spark, a.input)
-    _png_rgb(components.label_pictures(images), a.output)
-    _json(sinks.nested(components.components(components.labels(images)), "components"), a.metrics_output, DIGITS["components"])
+    _picture_rgb(components.label_pictures(images), a.input, a.output)
+    found = sinks.nested(components.components(components.labels(images)), "components")
+    _json(images.select("image_id", "width", "height").join(found, "image_id", "left"), documents.components_layout(a.output), documents.significant, a.input, a.metrics_output)
 
 
 def run_circles(spark, a):
     images = _images(spark, a.input)
     labelled = components.labels(images)
-    found = components.round_components(components.components(labelled))
+    every = components.components(labelled)
+    found = components.round_components(every)
     painted = components.label_colours(labelled, found)
     black = to_pixels(images).select("image_id", "y", "x")
     whole = black.join(painted, ["image_id", "y", "x"], "left").na.fill(0, ["r", "g", "b"])
-    _png_rgb(whole, a.output)
-    _json(images.select("image_id").join(sinks.nested(found, "circles"), "image_id", "left"), a.metrics_output, None)
+    _picture_rgb(whole, a.input, a.output)
+    counts = every.groupBy("image_id").agg(F.count("*").alias("component_count"))
+    rows = images.select("image_id", "width", "height").join(counts, "image_id", "left").join(sinks.nested(found, "circles"), "image_id", "left")
+    _json(rows, documents.circles_layout(components.MIN_AREA, components.ROUNDNESS, a.output), fixed(12), a.input, a.metrics_output)
 
 
 def run_read_tiff(spark, a):
-    _png_rgb(readers.read_rgb(spark, a.input), a.output)
+    _picture_rgb(readers.read_rgb(spark, a.input), a.input, a.output)
 
 
 def _options(a) -> blocks.PageOptions:
@@ -247,25 +282,22 @@ def _options(a) -> blocks.PageOptions:
 def run_classify_blocks(spark, a):
     images = _images(spark, a.input)
     page = experiments.page(images, _options(a))
-    _png_rgb(blocks.overlays(images, blocks.image_blocks(page["blocks"])), a.output)
-    counts = sinks.nested(blocks.class_counts(page["blocks"]), "counts")
-    whole = counts.join(sinks.nested(page["regions"], "regions"), "image_id", "left").join(sinks.nested(page["blocks"], "blocks"), "image_id")
-    _json(whole, a.metrics_output, DIGITS["classify-blocks"])
+    _picture_rgb(blocks.overlays(images, blocks.image_blocks(page["blocks"])), a.input, a.output)
+    _json(experiments.page_rows(images, page), documents.blocks_layout(a.block_size, a.min_region_blocks, a.min_neighbors, a.output), fixed(10), a.input, a.metrics_output)
 
 
 def run_restore_halftone(spark, a):
     images, options = _images(spark, a.input), blocks.PageOptions()
     page = experiments.page(images, options)
-    _png(page["restored"], a.output)
+    _picture(page["restored"], a.input, a.output)
     if a.blurred_output is not None:
         from dataclasses import replace
 
-        _png(blocks.restore(images, page["boxes"], replace(options, sharpen_amount=0.0)), a.blurred_output)
+        _picture(blocks.restore(images, page["boxes"], replace(options, sharpen_amount=0.0)), a.input, a.blurred_output)
     if a.blocks_output is not None:
-        _png_rgb(blocks.overlays(images, page["boxes"]), a.blocks_output)
-    regions = sinks.nested(page["regions"], "regions").withColumn("processed_region_count", F.size("regions"))
-    told = {k: F.lit(v) for k, v in vars(options).items()}
-    _json(images.select("image_id").withColumns(told).join(regions, "image_id", "left"), a.metrics_output, DIGITS["restore-halftone"])
+        _picture_rgb(blocks.overlays(images, page["boxes"]), a.input, a.blocks_output)
+    rows = images.select("image_id", "width", "height").join(sinks.nested(page["regions"], "regions"), "image_id", "left")
+    _json(rows, documents.restoration_layout(options, a.output, a.blurred_output, a.blocks_output), fixed(10), a.input, a.metrics_output)
 
 
 INPUT, OUTPUT = ("--input", {"required": True}), ("--output", {"required": True})

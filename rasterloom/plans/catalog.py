@@ -88,7 +88,7 @@ def png_round_trip(spark, d):
                 y, x = np.divmod(np.arange(plane.size, dtype=np.int32), plane.shape[1])
                 yield pa.record_batch({"image_id": pa.array([name] * plane.size), "y": y, "x": x, "v": plane.ravel().astype(np.int16)})
 
-    return sinks.png_files(to_images(embedding_tiles(spark, d))).mapInArrow(read, PIXELS)
+    return sinks.image_files(to_images(embedding_tiles(spark, d))).mapInArrow(read, PIXELS)
 
 
 @query(f"SELECT image_id, y, x, ((299 * v + 587 * (255 - v) + 114 * 100 + 500) // 1000)::SMALLINT AS v FROM {ORDERS}")
@@ -128,13 +128,6 @@ def stats_orders(spark, d):
     return rounded(statistics.statistics(orders_raster(spark, d)), *STATS)
 
 
-@query()
-def stats_json(spark, d):
-    """The statistics as JSON documents, with the 256 counts."""
-    stats = statistics.statistics(orders_raster(spark, d))
-    counts = statistics.histogram(orders_raster(spark, d)).groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "cnt"))), lambda x: x["cnt"]).alias("histogram"))
-    return sinks.json_documents(stats.withColumn("quartiles", F.struct("q1", "q2", "q3")).drop("q1", "q2", "q3").join(counts, "image_id"))
-
 
 @query(
     f"""WITH h AS (SELECT b.bin, count(p.v) AS cnt FROM range(256) b(bin) LEFT JOIN {ORDERS} p ON p.v = b.bin GROUP BY b.bin),
@@ -567,10 +560,6 @@ def processing_regions(spark, d):
     return blocks.processing_regions(_page(spark, d), PAGE)
 
 
-@query()
-def restored_page(spark, d):
-    return to_pixels(experiments.page(to_images(document_scan(spark, d)), PAGE)["restored"])
-
 
 @query(MERGE_SQL + "SELECT p.image_id, p.y, p.x, " + ", ".join(f"(CASE WHEN m.class = 'image' THEN {pixel(e)} ELSE p.v END)::SMALLINT AS {n}" for n, e in (("r", "p.v * (1 - 0.35::DOUBLE) + 255 * 0.35::DOUBLE"), ("g", "p.v * (1 - 0.35::DOUBLE)"), ("b", "p.v * (1 - 0.35::DOUBLE)"))) + " FROM p JOIN m ON m.row = p.br AND m.col = p.bc")
 def block_overlay(spark, d):
@@ -616,18 +605,9 @@ def image_fft(spark, d):
     return rounded(fourier.image_spectrum(to_images(embedding_tiles(spark, d))), "re", "im")
 
 
-@query(
-    f"""SELECT a.v::INT AS v, b.u::INT AS u, 'orders' AS image_id, round(sum(p.v * cos(2 * pi() * ((a.v * p.y + b.u * p.x) % 16) / 16)), 5) + 0.0 AS re, round(-sum(p.v * sin(2 * pi() * ((a.v * p.y + b.u * p.x) % 16) / 16)), 5) + 0.0 AS im
-    FROM {ORDERS} p, range(16) a(v), range(16) b(u) WHERE p.y < 10 AND p.x < 13 GROUP BY 1, 2"""
-)
-def image_fft_pixels(spark, d):
-    """Rows, then columns, of a corner of the raster; image_fft_pixels_tiles does whole tables."""
-    corner = orders_raster(spark, d).where("y < 10 AND x < 13")
-    return rounded(fourier.image_spectrum_pixels(corner, 16), "re", "im", digits=5)
-
 
 @query(ORACLE_SQL["image_fft"])
-def image_fft_pixels_tiles(spark, d):
+def image_fft_pixels(spark, d):
     """Rows, then columns, of every tile."""
     return rounded(fourier.image_spectrum_pixels(embedding_tiles(spark, d), 8), "re", "im")
 
@@ -641,15 +621,6 @@ def image_spectrum(spark, d):
     return to_pixels(fourier.image_spectrum_images(to_images(embedding_tiles(spark, d))))
 
 
-@query()
-def signal_plots(spark, d):
-    return fourier.signal_plots(embedding_signals(spark, d))
-
-
-@query()
-def signal_spectra(spark, d):
-    return fourier.signal_spectrum_images(embedding_signals(spark, d))
-
 
 # noise and reports
 
@@ -664,26 +635,4 @@ def impulse_noise(spark, d):
     return to_pixels(filters.impulse_noise(to_images(orders_raster(spark, d)), 0.05, 1))
 
 
-@query()
-def low_pass_report(spark, d):
-    return experiments.low_pass_report(to_images(orders_raster(spark, d)), "gaussian", 400.0, 3)
-
-
-@query()
-def threshold_low_pass_report(spark, d):
-    return experiments.low_pass_report(to_images(orders_raster(spark, d)), "impulse", 0.05, 3, threshold=20.0)
-
-
-@query()
-def rank_report(spark, d):
-    return experiments.rank_report(to_images(orders_raster(spark, d)), "impulse", 0.05, FULL_3, 4)
-
-
-@query()
-def rotation_report(spark, d):
-    return experiments.rotation_report(to_images(orders_raster(spark, d)), 30.0)
-
-
-@query()
-def components_json(spark, d):
-    return sinks.json_documents(sinks.nested(components.components(_labels(spark, d)), "components"), digits=None)
+from rasterloom.plans import reports  # noqa: E402, F401  (adds the queries of documents, reports and files)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,30 +12,47 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.kernels import as_aperture, as_kernel
 from rasterloom.operators.frames import IMAGES, PIXELS_RGB
-from rasterloom.sources.formats import decode_gray, decode_rgb
+from rasterloom.sources.formats import FormatError, decode_gray, decode_rgb
+
+
+#: Endings of what the JVM decodes; everything else is decoded here, by its first bytes.
+JVM_ENDINGS = r"\.(jpe?g|jfif)$"
+_JVM_GLOB = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[jJ][fF][iI][fF]}"
+
+
+def _named(name: str, decode: Callable[[bytes], np.ndarray], data: bytes) -> np.ndarray:
+    try:
+        return decode(data)
+    except FormatError as e:
+        raise FormatError(f"{name}: {e}") from None
 
 
 def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Gray images, one row a file, named by path. PGM, PNG and TIFF are decoded here, other formats by Spark's own reader."""
+    """Gray images, one row a file, named by path: PNM, PNG, BMP and TIFF decoded here, JPEG by Spark's own reader.
+
+    Every file of a folder counts; one that can't be decoded is an error when it is read.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    ours = F.lower(F.col("path")).rlike(r"\.(pgm|png|tiff?)$")
 
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                plane = decode_gray(data)
+                plane = _named(name, decode_gray, data)
                 yield pa.record_batch({"image_id": [name], "width": pa.array([plane.shape[1]], pa.int32()), "height": pa.array([plane.shape[0]], pa.int32()), "pixels": [plane.tobytes()]})
 
-    return files.where(ours).mapInArrow(run, IMAGES)
+    ours = files.where(~F.lower(F.col("path")).rlike(JVM_ENDINGS)).mapInArrow(run, IMAGES)
+    return ours.unionByName(read_jvm_images(spark, path))
 
 
-def read_other_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """JPEG, BMP and what else the JVM decodes, as gray images; files that it can't decode are left out."""
-    files = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+def read_jvm_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """JPEG files as gray images, decoded by the JVM."""
+    files = spark.read.format("image").option("pathGlobFilter", _JVM_GLOB).load(path).select("image.*")
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
+                if row["height"] < 1 or row["width"] < 1:
+                    raise FormatError(f"{row['origin']}: the image can't be decoded")
                 planes = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["nChannels"]).astype(np.uint32)
                 gray = planes[..., 0] if planes.shape[2] == 1 else (114 * planes[..., 0] + 587 * planes[..., 1] + 299 * planes[..., 2] + 500) // 1000
                 yield pa.record_batch({"image_id": [row["origin"]], "width": pa.array([row["width"]], pa.int32()), "height": pa.array([row["height"]], pa.int32()), "pixels": [gray.astype(np.uint8).tobytes()]})
@@ -43,13 +61,13 @@ def read_other_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_rgb(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """pixels_rgb of PGM, PNG and TIFF files."""
+    """pixels_rgb of PNM, PNG, BMP and uncompressed TIFF files."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rgb = decode_rgb(data)
+                rgb = _named(name, decode_rgb, data)
                 y, x = np.divmod(np.arange(rgb.shape[0] * rgb.shape[1], dtype=np.int32), rgb.shape[1])
                 flat = rgb.reshape(-1, 3).astype(np.int16)
                 yield pa.record_batch({"image_id": pa.array([name] * len(x)), "y": y, "x": x, "r": flat[:, 0], "g": flat[:, 1], "b": flat[:, 2]})
@@ -67,7 +85,11 @@ def read_signals(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     A file without a sample raises an error when it is read.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("signal_id"), "value")
+    return signals_of(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("signal_id"), "value"))
+
+
+def signals_of(files: DataFrame) -> DataFrame:
+    """Signals of (signal_id, value), the value being a file's text."""
     line = F.explode(F.transform(F.split("value", "\n"), lambda s, i: F.struct(i.alias("line"), F.split(F.trim(F.translate(s, ",;\t\r", "    ")), " +").alias("words"))))
     rows = files.select("signal_id", line.alias("l")).select("signal_id", "l.line", "l.words")
     number = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"

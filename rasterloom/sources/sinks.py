@@ -1,4 +1,4 @@
-"""Images as PNG files' bytes, and result tables as JSON documents, one row an image."""
+"""Images as files' bytes, by file ending, and rows of one image gathered for a document."""
 
 from __future__ import annotations
 
@@ -6,44 +6,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rasterloom.operators.frames import planes_of
-from rasterloom.sources.formats import encode_png
+from rasterloom.sources.formats import encoder
 
 
-def png_files(images: DataFrame) -> DataFrame:
-    """image_id and png."""
+def image_files(images: DataFrame, ending: str = "png") -> DataFrame:
+    """image_id and file: each plane as a file of this ending."""
+    encode = encoder(ending)
 
     def run(batches):
         for batch in batches:
             for name, plane in planes_of(batch):
-                yield pa.record_batch({"image_id": [name], "png": pa.array([encode_png(plane)], pa.binary())})
+                yield pa.record_batch({"image_id": [name], "file": pa.array([encode(plane)], pa.binary())})
 
-    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, "image_id string, png binary")
+    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, "image_id string, file binary")
 
 
-def png_files_rgb(pixels_rgb: DataFrame) -> DataFrame:
-    """image_id and png of complete pixels_rgb; an image is put together in one task."""
-    import pandas as pd
+def image_files_rgb(pixels_rgb: DataFrame, ending: str = "png") -> DataFrame:
+    """image_id and file of complete pixels_rgb; an image is put together in one task."""
+    encode = encoder(ending)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        out = np.zeros((h, w, 3), np.uint8)
-        out[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf[["r", "g", "b"]].to_numpy()
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "png": [encode_png(out)]})
+    def run(table: pa.Table) -> pa.Table:
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        out = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 3), np.uint8)
+        out[y, x] = np.stack([table.column(c).to_numpy() for c in "rgb"], axis=1)
+        return pa.table({"image_id": pa.array([table.column("image_id")[0].as_py()]), "file": pa.array([encode(out)], pa.binary())})
 
-    return pixels_rgb.groupBy("image_id").applyInPandas(run, "image_id string, png binary")
-
-
-def json_documents(rows: DataFrame, *, digits: int | None = 10) -> DataFrame:
-    """A column json of each row's fields; doubles get so many decimals, written as strings where infinite."""
-    infinite = [f.name for f in rows.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    fields = [(F.round(F.col(c), digits) if digits is not None and c in infinite else F.col(c)).alias(c) for c in rows.columns]
-    whole = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    for c in infinite:
-        whole = F.when(F.col(c) == float("inf"), F.regexp_replace(whole, f'"{c}":("Infinity"|Infinity)', f'"{c}":"inf"')).otherwise(whole)
-    return rows.select("image_id", whole.alias("json"))
+    return pixels_rgb.groupBy("image_id").applyInArrow(run, "image_id string, file binary")
 
 
 def nested(rows: DataFrame, name: str) -> DataFrame:

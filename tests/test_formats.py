@@ -105,7 +105,73 @@ def test_folders(spark, tmp_path):
     got = {r.image_id.rsplit("/", 1)[1]: r for r in readers.read_images(spark, str(tmp_path)).collect()}
     assert got["a.png"].pixels == PLANE.tobytes() and (got["b.tif"].width, got["b.tif"].height) == (4, 5)
     assert readers.gray_of(readers.read_rgb(spark, str(tmp_path / "b.tif"))).count() == 20
-    assert sinks.png_files_rgb(readers.read_rgb(spark, str(tmp_path / "b.tif"))).first().png == formats.encode_png(RGB)
+    assert sinks.image_files_rgb(readers.read_rgb(spark, str(tmp_path / "b.tif"))).first().file == formats.encode_png(RGB)
+
+
+def test_a_folder_is_read_whole(spark, tmp_path):
+    """Every format side by side; JPEG by the JVM; one that can't be decoded is an error that names it."""
+    image = spark._jvm.java.awt.image.BufferedImage(4, 5, 10)  # 10: gray
+    for k, v in enumerate(PLANE.ravel().tolist()):
+        image.getRaster().setSample(k % PLANE.shape[1], k // PLANE.shape[1], 0, 128) if PLANE.shape == (5, 4) else None
+    spark._jvm.javax.imageio.ImageIO.write(image, "jpg", spark._jvm.java.io.File(str(tmp_path / "j.JPG")))
+    for ending, encode in formats.ENCODERS.items():
+        (tmp_path / f"x.{ending}").write_bytes(encode(PLANE))
+    (tmp_path / "t.pgm").write_bytes(formats.encode_pnm(PLANE, text=True))
+    got = {r.image_id.rsplit("/", 1)[1]: r for r in readers.read_images(spark, str(tmp_path)).collect()}
+    assert set(got) == {*(f"x.{e}" for e in formats.ENCODERS), "t.pgm", "j.JPG"}
+    assert all(r.pixels == PLANE.tobytes() for n, r in got.items() if n != "j.JPG") and (got["j.JPG"].width, got["j.JPG"].height) == (4, 5)
+    (tmp_path / "notes.txt").write_text("no image")
+    with pytest.raises(Exception, match="notes.txt: unknown image format"):
+        readers.read_images(spark, str(tmp_path)).collect()
+    (tmp_path / "notes.txt").unlink()
+    (tmp_path / "bad.jpg").write_bytes(b"no image")
+    with pytest.raises(Exception, match="bad.jpg"):
+        readers.read_images(spark, str(tmp_path)).collect()
+
+
+def test_portable_maps():
+    assert formats.decode(b"P1\n# bits\n3 2\n101\n0 1 0\n").tolist() == [[0, 255, 0], [255, 0, 255]]
+    assert formats.decode(b"P4\n10 2\n" + bytes([0b10100000, 0b01000000, 0, 0])).tolist() == [[0, 255, 0] + [255] * 6 + [0], [255] * 10]
+    assert formats.decode(b"P3 2 1 15 0 15 3  1 2 3").tolist() == [[[0, 255, 51], [17, 34, 51]]]
+    for text in (False, True):
+        assert np.array_equal(formats.decode(formats.encode_pnm(RGB, text=text)), RGB) and np.array_equal(formats.decode(formats.encode_pnm(PLANE, text=text)), PLANE)
+    for bad in (b"P1\n3 2\n10", b"P3 2 1 255 0 1", b"P6\n2 2\n255\nabc", b"P2 1 1 7 9 ", b"P7\n"):
+        with pytest.raises(formats.FormatError):
+            formats.decode(bad)
+
+
+def test_bitmaps():
+    assert np.array_equal(formats.decode(formats.encode_bmp(RGB)), RGB)
+    assert np.array_equal(formats.decode_gray(formats.encode_bmp(PLANE)), PLANE)
+    for bad in (formats.encode_bmp(RGB)[:60], b"BM", formats.encode_bmp(RGB).replace(struct.pack("<H", 24), struct.pack("<H", 16), 1)):
+        with pytest.raises(formats.FormatError):
+            formats.decode(bad)
+
+
+@pytest.mark.parametrize("compression", [1, 8])
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_written_tiff(order, compression):
+    for image in (PLANE, RGB):
+        for rows in (1, 2, None):
+            data = formats.encode_tiff(image, order=order, strip_rows=rows, compression=compression)
+            assert np.array_equal(formats.decode(data, packed=True), image)
+            if compression != 1:
+                with pytest.raises(formats.FormatError, match="uncompressed"):
+                    formats.decode_rgb(data)
+    assert np.array_equal(formats.decode(formats.encode_tiff(PLANE, white_is_zero=True)), PLANE)
+
+
+def test_packed_strips():
+    assert formats._packbits(bytes([2, 1, 2, 3, 254, 7, 128, 0, 9])) == bytes([1, 2, 3, 7, 7, 7, 9])
+    # 256 (clear), 7, 258 (the entry that this code completes), 7, 257 (end): 7, 7 7, 7
+    codes = "".join(f"{c:09b}" for c in (256, 7, 258, 7, 257))
+    assert formats._tiff_lzw(int(codes.ljust(48, "0"), 2).to_bytes(6, "big")) == bytes([7] * 4)
+
+
+def test_endings():
+    assert formats.encoder(".PNG") is formats.encode_png
+    with pytest.raises(formats.FormatError, match="jpg"):
+        formats.encoder(".jpg")
 
 
 def test_signals(spark, tmp_path):

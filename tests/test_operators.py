@@ -10,7 +10,7 @@ from rasterloom.functions import kernels, planes
 from rasterloom.operators import blocks, components, cooccurrence, filters, fourier, quality, statistics
 from rasterloom.operators.frames import IMAGES, PIXELS, to_images, to_pixels
 from rasterloom.plans import experiments
-from rasterloom.sources import sinks
+from rasterloom.sources import documents
 
 RNG = np.random.default_rng(11)
 
@@ -65,8 +65,9 @@ def test_quality(spark):
         rows = {r.image_id: r for r in got.collect()}
         assert rows["x"].mse == pytest.approx(mse) and rows["x"].psnr_db == pytest.approx(20 * math.log10(255 / math.sqrt(mse)))
         assert rows["same"].psnr_db == math.inf
-    documents = {r.image_id: json.loads(r.json) for r in sinks.json_documents(quality.quality_of_images(one, two)).collect()}
-    assert documents["same"]["psnr_db"] == "inf" and documents["x"]["mse"] == pytest.approx(mse)
+    told = documents.documents(quality.quality_of_images(one, two), documents.quality_layout(), documents.fixed(12))
+    found = {r.image_id: json.loads(r.json) for r in told.collect()}
+    assert found["same"]["psnr_db"] == "inf" and found["x"]["mse"] == pytest.approx(mse)
     for bad in (lambda: quality.quality(to_pixels(one), to_pixels(images_of(spark, x=b[:3], same=a))).collect(), lambda: quality.quality_of_images(one, images_of(spark, x=b[:3], same=a)).collect()):
         with pytest.raises(Exception, match="different sizes"):
             bad()
