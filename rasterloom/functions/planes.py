@@ -11,6 +11,8 @@ import numpy as np
 
 #: Rows of windows that rank filters take together.
 _BAND_CELLS = 1 << 22
+#: Places that are turned together: few enough for a core's own cache.
+_TURN_CELLS = 1 << 15
 
 
 def rounded(values: np.ndarray) -> np.ndarray:
@@ -162,34 +164,38 @@ def rotate(plane: np.ndarray, degrees: float, method: str = "bilinear", backgrou
     stride = w + 2 * pad
     flat = framed.ravel()
     turned_x = left + np.arange(out_w) + 0.5
-    rows = max(1, (1 << 18) // out_w)
+    rows = max(1, _TURN_CELLS // out_w)
     for first in range(0, out_h, rows):
         turned_y = (top + np.arange(first, min(out_h, first + rows)) + 0.5)[:, None]
         x = turned_x * c - turned_y * s + w / 2 - 0.5
         y = turned_x * s + turned_y * c + h / 2 - 0.5
         if method == "nearest":
-            column, row = np.floor(x + 0.5), np.floor(y + 0.5)
-            outside = (column < 0) | (row < 0) | (column > w - 1) | (row > h - 1)
-            at = (np.clip(row, 0, h - 1).astype(np.int32) + pad) * stride + np.clip(column, 0, w - 1).astype(np.int32) + pad
-            band = flat[at]
-        else:
-            outside = (x < 0) | (y < 0) | (x > w - 1) | (y > h - 1)
-            x, y = np.clip(x, 0, w - 1), np.clip(y, 0, h - 1)
-            column, row = np.floor(x), np.floor(y)
+            x, y = np.floor(x + 0.5), np.floor(y + 0.5)
+        # only places over the plane are worked on: a turned canvas has many others
+        inside = np.flatnonzero((x >= 0) & (y >= 0) & (x <= w - 1) & (y <= h - 1))
+        band = np.full(x.shape, background, np.uint8)
+        x, y = x.ravel()[inside], y.ravel()[inside]
+        column, row = x.astype(np.intp), y.astype(np.intp)  # not negative, so cut off is rounded down
+        at = (row + pad) * stride + column + pad
+        if method == "nearest":
+            band.ravel()[inside] = flat.take(at)
+        elif method == "bilinear":
             dx, dy = x - column, y - row
-            at = (row.astype(np.int32) + pad) * stride + column.astype(np.int32) + pad
-            if method == "bilinear":
-                upper = flat[at] * (1 - dx) + flat[at + 1] * dx
-                lower = flat[at + stride] * (1 - dx) + flat[at + stride + 1] * dx
-                band = to_pixels(upper * (1 - dy) + lower * dy)
-            else:
-                across, down = _lagrange(dx), _lagrange(dy)
-                total = np.zeros(x.shape)
-                for j in range(4):
-                    for i in range(4):
-                        total += across[i] * down[j] * flat[at + (j - 1) * stride + i - 1]
-                band = to_pixels(total)
-        out[first : first + len(band)] = np.where(outside, np.uint8(background), band)
+            upper = flat.take(at) * (1 - dx) + flat.take(at + 1) * dx
+            lower = flat.take(at + stride) * (1 - dx) + flat.take(at + stride + 1) * dx
+            band.ravel()[inside] = to_pixels(upper * (1 - dy) + lower * dy)
+        else:
+            across, down = _lagrange(x - column), _lagrange(y - row)
+            total = np.zeros(len(x))
+            at -= stride + 1
+            for j in range(4):
+                line = across[0] * flat.take(at)
+                for i in range(1, 4):
+                    line += across[i] * flat.take(at + i)
+                total += down[j] * line
+                at += stride
+            band.ravel()[inside] = to_pixels(total)
+        out[first : first + len(band)] = band
     return out
 
 
@@ -329,40 +335,39 @@ def histogram_image(counts: np.ndarray, width: int = 512, height: int = 256) ->
     return out
 
 
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes is connected with: roots hook to lesser roots, and paths are cut short in between."""
+    root = np.arange(n)
+    while True:
+        at_a, at_b = root[a], root[b]
+        apart = at_a != at_b
+        if not apart.any():
+            return root
+        a, b, at_a, at_b = a[apart], b[apart], at_a[apart], at_b[apart]
+        np.minimum.at(root, np.maximum(at_a, at_b), np.minimum(at_a, at_b))
+        while not np.array_equal(higher := root[root], root):
+            root = higher
+
+
 def label_components(mask: np.ndarray) -> np.ndarray:
     """4-connected components numbered from 1 in the raster order of their first pixels; 0 elsewhere.
 
-    Least pixel numbers spread along horizontal and vertical runs until nothing changes.
+    Horizontal runs that touch across two rows are joined, so the cost follows runs and not the shapes that they form.
     """
     h, w = mask.shape
-    least = np.where(mask, np.arange(h * w).reshape(h, w), h * w)
-
-    def runs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = m.copy()
-        start[:, 1:] &= ~m[:, :-1]
-        run = np.cumsum(start.ravel()) - 1
-        where = np.flatnonzero(m.ravel())
-        return where, run[where]
-
-    across, down = runs(mask), runs(np.ascontiguousarray(mask.T))
-    if not len(across[0]):
+    wide = np.pad(mask, ((0, 0), (0, 1))).ravel()  # a blank ends each row, so no run goes on in the next
+    edge = np.flatnonzero(np.diff(wide.view(np.int8), prepend=0))
+    starts, ends = edge[0::2], edge[1::2]
+    if not len(starts):
         return np.zeros((h, w), np.int32)
-    firsts = [np.flatnonzero(np.diff(r, prepend=-1)) for _, r in (across, down)]
-    flat = least.ravel()
-    to_flat = (down[0] % h) * w + down[0] // h
-    while True:
-        before = flat.copy()
-        flat[across[0]] = np.minimum.reduceat(flat[across[0]], firsts[0])[across[1]]
-        flat[to_flat] = np.minimum.reduceat(flat[to_flat], firsts[1])[down[1]]
-        # a pixel takes what its least known pixel has learnt: paths shorten by half
-        inside = across[0]
-        flat[inside] = flat[flat[inside]]
-        if np.array_equal(before, flat):
-            break
-    out = np.zeros(h * w, np.int32)
-    _, number = np.unique(flat[across[0]], return_inverse=True)
-    out[across[0]] = number + 1
-    return out.reshape(h, w)
+    first = np.searchsorted(ends, starts + w + 1, side="right")
+    below = np.maximum(np.searchsorted(starts, ends + w + 1, side="left") - first, 0)
+    upper = np.repeat(np.arange(len(starts)), below)
+    lower = np.arange(len(upper)) - np.repeat(np.cumsum(below) - below - first, below)
+    _, number = np.unique(_joined(len(starts), upper, lower), return_inverse=True)
+    out = np.zeros(h * (w + 1), np.int32)
+    out[wide] = np.repeat(number + 1, ends - starts)
+    return np.ascontiguousarray(out.reshape(h, w + 1)[:, :w])
 
 
 def masked_blur(plane: np.ndarray, mask: np.ndarray, kernel: np.ndarray) -> np.ndarray:

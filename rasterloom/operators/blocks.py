@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterloom.functions import kernels, planes
-from rasterloom.operators.frames import IMAGES, PIXELS_RGB
+from rasterloom.operators.frames import IMAGES, PIXELS_RGB, planes_of
 
 #: Fixed limits of pixel kinds: raw white, dark and midtone, and the same after a block's range is stretched.
 WHITE, DARK, MIDTONE = 245, 128, (64, 245)
@@ -197,14 +197,13 @@ def _masked(images: DataFrame, boxes: DataFrame, function, schema: str) -> DataF
 
         arrow = to_arrow_schema(full)
         for batch in batches:
-            for row in batch.to_pylist():
-                plane = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"])
+            for (name, plane), boxed in zip(planes_of(batch), batch.column("boxes"), strict=True):
                 mask = np.zeros(plane.shape, bool)
-                for b in row["boxes"] or []:
+                for b in boxed.as_py() or []:
                     mask[b["y"] : b["y"] + b["height"], b["x"] : b["x"] + b["width"]] = True
                 made = function(plane, mask)
                 n = len(next(iter(made.values())))
-                yield pa.RecordBatch.from_arrays([pa.array([row["image_id"]] * n, pa.string()), *[pa.array(made[f.name], f.type) for f in list(arrow)[1:]]], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), *[pa.array(made[f.name], f.type) for f in list(arrow)[1:]]], schema=arrow)
 
     return rows.mapInArrow(run, full)
 

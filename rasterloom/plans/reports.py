@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import kernels
 from rasterloom.operators import blocks, components, cooccurrence, filters, fourier, quality, statistics
-from rasterloom.operators.frames import IMAGES, PIXELS_RGB, to_images, to_pixels
+from rasterloom.operators.frames import PIXELS_RGB, map_rows, to_images, to_pixels
 from rasterloom.plans import experiments
-from rasterloom.plans.catalog import BOX_SUM, FULL_3, LABEL_SQL, MERGE_SQL, OTSU_SQL, PAGE, REGION_SQL, SORTED, STATS, STATS_SQL, QUERIES, aperture_cells, glcm_sql, kernel_cells, pixel, query, rotation_sql, rounded, windows_sql
+from rasterloom.plans.catalog import BOX_SUM, FULL_3, LABEL_SQL, MERGE_SQL, OTSU_SQL, PAGE, REGION_SQL, SORTED, STATS, STATS_SQL, aperture_cells, glcm_sql, kernel_cells, pixel, query, rotation_sql, rounded, windows_sql
 from rasterloom.plans.rasters import ORDERS, SCAN, SIGNALS, TILES, document_scan, embedding_signals, embedding_tiles, orders_raster
 from rasterloom.sources import documents, formats, readers, sinks
 from rasterloom.sources.documents import documents as written, fixed, significant
@@ -341,7 +341,6 @@ s AS (SELECT signal_id, k, round(least(255, greatest(0, round(amplitude / top *
 
 def _lit(images, value: str, schema: str):
     """Rows of what a function of each plane gives."""
-    from rasterloom.operators.frames import map_rows
 
     def told(plane: np.ndarray) -> dict:
         if value == "bars":
@@ -364,7 +363,7 @@ p AS (SELECT signal_id, idx, least(255, greatest(0, round((high - value) / (high
 e AS (SELECT a.signal_id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, abs(b.x - a.x) AS dx, -abs(b.y - a.y) AS dy, CASE WHEN a.x < b.x THEN 1 ELSE -1 END AS sx, CASE WHEN a.y < b.y THEN 1 ELSE -1 END AS sy FROM p a JOIN p b ON a.signal_id = b.signal_id AND b.idx = a.idx + 1),
 w AS (SELECT signal_id, x0 AS x, y0 AS y, x1, y1, dx, dy, sx, sy, dx + dy AS error FROM e
   UNION ALL SELECT signal_id, x + CASE WHEN 2 * error >= dy THEN sx ELSE 0 END, y + CASE WHEN 2 * error <= dx THEN sy ELSE 0 END, x1, y1, dx, dy, sx, sy, error + CASE WHEN 2 * error >= dy THEN dy ELSE 0 END + CASE WHEN 2 * error <= dx THEN dx ELSE 0 END FROM w WHERE x <> x1 OR y <> y1),
-lit AS (SELECT DISTINCT signal_id, y, x FROM w), axis AS (SELECT signal_id, least(255, greatest(0, round(high / (high - low) * 255)))::INT AS y, c.x::INT AS x FROM r, range(512) c(x))
+lit AS (SELECT DISTINCT signal_id, y, x FROM w), axis AS (SELECT signal_id, least(255, greatest(0, round(high / (high - low) * 255)))::INT AS y, c.x::INT AS x FROM r, range(512) c(x)),
 shown AS (SELECT signal_id, y, x, 255 AS v FROM lit UNION ALL SELECT a.signal_id, a.y, a.x, 64 FROM axis a LEFT JOIN lit l ON l.signal_id = a.signal_id AND l.y = a.y AND l.x = a.x WHERE l.y IS NULL)
 SELECT signal_id AS image_id, x, count(*) FILTER (v = 255) AS white, sum(y) FILTER (v = 255)::BIGINT AS sum_y, sum(y * y) FILTER (v = 255)::BIGINT AS sum_yy, max(y) FILTER (v = 64)::INT AS axis_y FROM shown GROUP BY 1, 2"""
 
@@ -499,3 +498,31 @@ LAPLACIAN_7 = kernels.laplacian(7)
 @query(f"SELECT image_id, y, x, round(r, 6) + 0.0 AS r FROM ({windows_sql(ORDERS, kernel_cells(LAPLACIAN_7), 7, 7, 'sum(p.v * k.w) AS r')})")
 def laplacian_response_7(spark, d):
     return rounded(filters.response(to_images(orders_raster(spark, d)), LAPLACIAN_7), "r")
+
+
+#: The first 128 uniform numbers of the generator at seed 1, two words each: a tile's 64 pixels need no more.
+UNIFORM_SQL = """WITH RECURSIVE seeded(i, s) AS (SELECT 0, 1::BIGINT UNION ALL SELECT i + 1, (1812433253::BIGINT * xor(s, s >> 30) + i + 1) & 4294967295 FROM seeded WHERE i < 623),
+halves AS (SELECT a.i AS k, xor(((a.s & 2147483648) | (b.s & 2147483647)) >> 1, CASE WHEN b.s & 1 = 1 THEN 2567483615 ELSE 0 END) AS t FROM seeded a JOIN seeded b ON b.i = a.i + 1),
+early AS (SELECT k, xor(c.s, t) AS w FROM halves JOIN seeded c ON c.i = k + 397 WHERE k < 227),
+words AS (SELECT * FROM early UNION ALL SELECT h.k, xor(e.w, h.t) FROM halves h JOIN early e ON e.k = h.k - 227 WHERE h.k BETWEEN 227 AND 255),
+t1 AS (SELECT k, xor(w, w >> 11) AS w FROM words), t2 AS (SELECT k, xor(w, (w << 7) & 2636928640) AS w FROM t1), t3 AS (SELECT k, xor(w, (w << 15) & 4022730752) AS w FROM t2), t4 AS (SELECT k, xor(w, w >> 18) AS w FROM t3),
+u AS (SELECT a.k // 2 AS n, least(1 - 1 / 9007199254740992.0::DOUBLE, (a.w::DOUBLE + b.w::DOUBLE * 4294967296::DOUBLE) / 18446744073709551616::DOUBLE) AS u FROM t4 a JOIN t4 b ON b.k = a.k + 1 WHERE a.k % 2 = 0)"""
+
+
+@query(
+    UNIFORM_SQL + f""", tries AS (SELECT a.n // 2 AS t, -1 + 2 * a.u AS x, -1 + 2 * b.u AS y FROM u a JOIN u b ON b.n = a.n + 1 WHERE a.n % 2 = 0),
+    good AS (SELECT row_number() OVER (ORDER BY t) - 1 AS pair, x, y, x * x + y * y AS s FROM tries WHERE x * x + y * y <= 1 AND x * x + y * y > 0),
+    normal AS (SELECT 2 * pair AS i, x * sqrt(-2 * ln(s) / s) AS z FROM good UNION ALL SELECT 2 * pair + 1, y * sqrt(-2 * ln(s) / s) FROM good)
+    SELECT p.image_id, p.y, p.x, {pixel('p.v + 20 * z')} AS v FROM {TILES} p JOIN normal ON normal.i = p.y * 8 + p.x"""
+)
+def gaussian_noise_tiles(spark, d):
+    return to_pixels(filters.gaussian_noise(to_images(embedding_tiles(spark, d)), 400.0, 1))
+
+
+@query(
+    UNIFORM_SQL.replace("u AS (", "u AS MATERIALIZED (", 1) + f""", walk(i, n, hit) AS (SELECT 0, 0, (SELECT u < 0.3::DOUBLE FROM u WHERE n = 0) UNION ALL
+      SELECT w.i + 1, w.n + CASE WHEN w.hit THEN 2 ELSE 1 END, u.u < 0.3::DOUBLE FROM walk w JOIN u ON u.n = w.n + CASE WHEN w.hit THEN 2 ELSE 1 END WHERE w.i < 63)
+    SELECT p.image_id, p.y, p.x, (CASE WHEN NOT w.hit THEN p.v WHEN u.u < 0.5::DOUBLE THEN 0 ELSE 255 END)::SMALLINT AS v FROM {TILES} p JOIN walk w ON w.i = p.y * 8 + p.x LEFT JOIN u ON u.n = w.n + 1"""
+)
+def impulse_noise_tiles(spark, d):
+    return to_pixels(filters.impulse_noise(to_images(embedding_tiles(spark, d)), 0.3, 1))
