@@ -365,7 +365,7 @@ w AS (SELECT signal_id, x0 AS x, y0 AS y, x1, y1, dx, dy, sx, sy, dx + dy AS err
   UNION ALL SELECT signal_id, x + CASE WHEN 2 * error >= dy THEN sx ELSE 0 END, y + CASE WHEN 2 * error <= dx THEN sy ELSE 0 END, x1, y1, dx, dy, sx, sy, error + CASE WHEN 2 * error >= dy THEN dy ELSE 0 END + CASE WHEN 2 * error <= dx THEN dx ELSE 0 END FROM w WHERE x <> x1 OR y <> y1),
 lit AS (SELECT DISTINCT signal_id, y, x FROM w), axis AS (SELECT signal_id, least(255, greatest(0, round(high / (high - low) * 255)))::INT AS y, c.x::INT AS x FROM r, range(512) c(x)),
 shown AS (SELECT signal_id, y, x, 255 AS v FROM lit UNION ALL SELECT a.signal_id, a.y, a.x, 64 FROM axis a LEFT JOIN lit l ON l.signal_id = a.signal_id AND l.y = a.y AND l.x = a.x WHERE l.y IS NULL)
-SELECT signal_id AS image_id, x, count(*) FILTER (v = 255) AS white, sum(y) FILTER (v = 255)::BIGINT AS sum_y, sum(y * y) FILTER (v = 255)::BIGINT AS sum_yy, max(y) FILTER (v = 64)::INT AS axis_y FROM shown GROUP BY 1, 2"""
+SELECT signal_id AS image_id, x, count(*) FILTER (v = 255) AS white, sum(y) FILTER (v = 255)::BIGINT AS sum_y, sum(y * y) FILTER (v = 255)::BIGINT AS sum_yy, coalesce(max(y) FILTER (v = 64), -1)::INT AS axis_y FROM shown GROUP BY 1, 2"""
 
 
 @query(PLOT_SQL)
@@ -373,7 +373,7 @@ def signal_plots(spark, d):
     """For each column of the pictures: how many pixels the polyline lights, where, and where the line at zero shows beneath it."""
     lit = _lit(fourier.signal_plots(embedding_signals(spark, d)), "pixels", "y int, x int, v smallint")
     white, y = F.col("v") == 255, F.col("y").cast("long")
-    return lit.groupBy("image_id", "x").agg(F.count_if(white).alias("white"), F.sum(F.when(white, y)).alias("sum_y"), F.sum(F.when(white, y * y)).alias("sum_yy"), F.max(F.when(F.col("v") == 64, F.col("y"))).alias("axis_y"))
+    return lit.groupBy("image_id", "x").agg(F.count_if(white).alias("white"), F.sum(F.when(white, y)).alias("sum_y"), F.sum(F.when(white, y * y)).alias("sum_yy"), F.coalesce(F.max(F.when(F.col("v") == 64, F.col("y"))), F.lit(-1)).alias("axis_y"))
 
 
 # noise
