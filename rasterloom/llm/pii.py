@@ -206,7 +206,8 @@ def train(patterns: list[tuple], posterior: dict[str, dict[tuple, float]], round
 
 def fit(docs: DataFrame, *, text_col: str = "text") -> dict[str, tuple[float, dict[str, list[float]]]]:
     """The span classifier, from all candidates of all texts."""
-    found = with_candidates(docs.select(F.col(text_col).alias("text")), "text", "spans").select(F.explode("spans").alias("c"))
+    # an outer explode: the planner would else test each text's candidates for null and emptiness first, by finding them twice more
+    found = with_candidates(docs.select(F.col(text_col).alias("text")), "text", "spans").select(F.explode_outer("spans").alias("c")).where("c is not null")
     counts = found.groupBy("c.kind", *[f"c.{n}" for n in FEATURES]).agg(F.count("*").alias("n")).collect()  # bounded by FEATURES
     patterns = sorted((r.kind, tuple(r[n] for n in FEATURES), r.n) for r in counts)
     votes: dict[tuple, int] = {}
