@@ -1,5 +1,6 @@
 """Base statistics against a plain count, and the outlier rule on planted rows."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import quality_outliers
+from rasterloom.llm import quality_outliers as qo
 from rasterloom.llm.queries import op6_quality_outliers
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -123,3 +125,56 @@ def test_small_groups_are_judged_by_their_language(spark):
     rows = ordinary(rng, 200, 0, "a") + ordinary(rng, 3, 200, "small") + [(1000, odd, "en", "small"), (1001, odd, "xx", "small")]
     kept = verdicts(spark, rows)
     assert not kept[1000] and not kept[1001] and all(kept[k] for k in range(200, 203))
+
+
+def plain_mcd(x, rng, starts=60):
+    """Least determinant of half of the rows over many random starts, concentrated until nothing moves; then one reweighting."""
+    n, p = x.shape
+    h, best = (n + p + 1) // 2, None
+    floors = np.square(qo.FLOORS)
+    for _ in range(starts):
+        some = x[rng.choice(n, p + 1, replace=False)]
+        mean, cov = some.mean(axis=0), np.cov(some.T, bias=True) + 1e-6 * np.eye(p)
+        before = np.inf
+        for _ in range(100):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            near = x[np.argsort(d, kind="stable")[:h]]
+            mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * qo.CONSISTENCY
+            np.fill_diagonal(cov, np.maximum(np.diag(cov), floors))
+            logdet = np.linalg.slogdet(cov)[1]
+            if logdet >= before - 1e-9:
+                break
+            before = logdet
+        if best is None or logdet < best[0]:
+            best = logdet, mean, cov
+    logdet, mean, cov = best
+    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    kept = x[d <= qo.WITHIN]
+    mean, cov = kept.mean(axis=0), np.cov(kept.T, bias=True) * qo.WITHIN_CONSISTENCY
+    np.fill_diagonal(cov, np.maximum(np.diag(cov), floors))
+    return logdet, mean, cov, np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.15, 0.33])
+def test_estimate_equals_a_plain_least_determinant(spark, share):
+    """Spreads far above the floors, so that these decide nothing: the same centre, spread and verdicts as from 60 random starts."""
+    rng = np.random.default_rng(int(100 * share))
+    mix = rng.normal(size=(4, 4)) + 3 * np.eye(4)
+    clean = rng.normal(size=(600, 4)) @ mix.T + 20
+    assert (clean.std(axis=0) > 5 * np.array(qo.FLOORS)).all()
+    # as wide as the clean rows: half of all rows around a far tighter third would have the lesser determinant
+    junk = rng.normal(size=(int(600 * share / (1 - share)), 4)) @ mix.T + 20 + 40 * np.array([1, -1, 0.5, 1])
+    x = np.concatenate((clean, junk))
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"{c} double" for c in qo.DIMENSIONS))
+    _, mean, cov, d = plain_mcd(x, rng)
+    params = qo._estimate(rows, True)
+    found = params.first()
+    assert np.allclose([found[f"m{k}"] for k in range(4)], mean, atol=0.15)
+    for i in range(4):
+        for j in range(i + 1):
+            assert abs(found[f"c{i}{j}"] - cov[i, j]) < 0.1 * math.sqrt(cov[i, i] * cov[j, j])
+    told = {tuple(round(r[c], 9) for c in qo.DIMENSIONS): r.d2 for r in qo._distances(rows, params, True).collect()}
+    got = np.array([told[tuple(round(float(v), 9) for v in r)] for r in x])
+    clear = np.abs(d / qo.CUTOFF - 1) > 0.2
+    assert ((got > qo.CUTOFF) == (d > qo.CUTOFF))[clear].all() and clear.mean() > 0.98
+    assert (got[600:] > qo.CUTOFF).all() and (got[:600] <= qo.CUTOFF).mean() > 0.995
