@@ -526,3 +526,95 @@ def gaussian_noise_tiles(spark, d):
 )
 def impulse_noise_tiles(spark, d):
     return to_pixels(filters.impulse_noise(to_images(embedding_tiles(spark, d)), 0.3, 1))
+
+
+# what readers and builders accept
+
+_PLANE = np.arange(12, dtype=np.uint8).reshape(3, 4)
+_GOOD, _RGB = formats.encode_tiff(_PLANE), formats.encode_tiff(np.stack([_PLANE] * 3, axis=-1))
+
+
+def _field(data: bytes, tag: int, *, kind: int | None = None, value: int | None = None, drop: bool = False) -> bytes:
+    """A little-endian TIFF with one field of its directory changed, or its tag made one that isn't read."""
+    out = bytearray(data)
+    for at in range(10, 10 + 12 * out[8], 12):
+        if int.from_bytes(out[at : at + 2], "little") == tag:
+            if kind is not None:
+                out[at + 2 : at + 4] = kind.to_bytes(2, "little")
+            if value is not None:
+                out[at + 8 : at + 12] = value.to_bytes(4, "little")
+            if drop:
+                out[at : at + 2] = (65_000).to_bytes(2, "little")
+    return bytes(out)
+
+
+#: Files, and what reading them says.
+TIFF_CASES = {
+    "gray": (_GOOD, "ok"),
+    "gray, big end first": (formats.encode_tiff(_PLANE, order=">"), "ok"),
+    "gray, strips of a line": (formats.encode_tiff(_PLANE, strip_rows=1), "ok"),
+    "colour": (_RGB, "ok"),
+    "byte order": (b"IM" + _GOOD[2:], "unknown image format"),
+    "magic number": (_GOOD[:2] + b"\x2b" + _GOOD[3:], "TIFF: bad magic number"),
+    "no directory": (_GOOD[:8], "TIFF: truncated"),
+    "half a directory": (_GOOD[:40], "TIFF: truncated"),
+    "half a strip": (_GOOD[:-3], "TIFF: truncated"),
+    "type of a field": (_field(_GOOD, 256, kind=2), "TIFF: field type 2 of tag 256"),
+    "no strips": (_field(_GOOD, 273, drop=True), "TIFF: no offsets"),
+    "no size": (_field(_field(_GOOD, 256, drop=True), 257, drop=True), "TIFF: no height, width"),
+    "no width": (_field(_GOOD, 256, value=0), "TIFF: empty image"),
+    "16 bits": (_field(_GOOD, 258, value=16), "TIFF: bits must be 8"),
+    "packed": (_field(_GOOD, 259, value=5), "TIFF: only uncompressed, chunky images"),
+    "planes apart": (_field(_GOOD, 284, value=2), "TIFF: only uncompressed, chunky images"),
+    "palette": (_field(_GOOD, 262, value=3), "TIFF: only 8-bit gray and RGB"),
+    "too few pixels": (_field(_GOOD, 279, value=7), "TIFF: too few pixels"),
+    "empty": (b"", "unknown image format"),
+}
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in row) + ")" for row in rows)
+
+
+@query(f"SELECT * FROM (VALUES {_values((n, m) for n, (_, m) in TIFF_CASES.items())}) t(name, said)")
+def tiff_checks(spark, d):
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    said = "ok" if formats.decode_rgb(data).shape == (3, 4, 3) else "another size"
+                except formats.FormatError as e:
+                    said = str(e)
+                yield pa.record_batch({"name": [name], "said": [said]})
+
+    return spark.createDataFrame([(n, bytearray(data)) for n, (data, _) in TIFF_CASES.items()], "name string, data binary").mapInArrow(run, "name string, said string")
+
+
+#: Texts of kernels and apertures, and whether they are accepted.
+MATRIX_CASES = [("1", True, True), ("0 1 0,1 1 1;0 1 0".replace(";", "\n").replace(",", "\n"), True, True), ("1 2\n3 4", False, False), ("1 2 3", True, False), ("1\n2\n3", True, False), ("1 0 1", True, True), ("0 0 0", True, False), ("", False, False), ("1 x 1", False, False), ("1 nan 1", False, False), ("1 2 3\n4 5", False, False), ("-1 2.5 1e3", True, False)]
+
+
+def _accepts(parse, text: str) -> bool:
+    try:
+        return parse(text) is not None
+    except ValueError:
+        return False
+
+
+@query("SELECT text, kernel = 'True' AS kernel, aperture = 'True' AS aperture FROM (VALUES " + _values((t.replace("\n", "/"), k, a) for t, k, a in MATRIX_CASES) + ") t(text, kernel, aperture)")
+def matrix_checks(spark, d):
+    """Odd sizes, rows of one length, finite numbers; apertures of 0 and 1 with an active cell."""
+    return spark.createDataFrame([(t.replace("\n", "/"), _accepts(readers.parse_kernel, t), _accepts(readers.parse_aperture, t)) for t, _, _ in MATRIX_CASES], "text string, kernel boolean, aperture boolean")
+
+
+@query("SELECT name, operation FROM (VALUES ('erosion', 'erosion'), ('erode', 'erosion'), ('dilation', 'dilation'), ('dilate', 'dilation'), ('opening', 'opening'), ('open', 'opening'), ('closing', 'closing'), ('close', 'closing'), ('four', '4'), ('eight', '3'), ('min', '0'), ('median', '4'), ('max', '8')) t(name, operation)")
+def named_choices(spark, d):
+    """Names of morphological operations, of Laplacians (the centre of the 3 x 3 kernel) and of ranks among nine cells."""
+    centres = [(n, str(int(abs(kernels.laplacian(3, n)[1, 1])))) for n in ("four", "eight")]
+    ranks = [(n, str(kernels.rank_number(n, 9))) for n in ("min", "median", "max")]
+    return spark.createDataFrame([*kernels.MORPHOLOGY.items(), *centres, *ranks], "name string, operation string")
+
+
+@query("SELECT n::INT AS n, (1::BIGINT << ceil(log2(n))::INT)::BIGINT AS size FROM range(1, 5000) t(n)")
+def transform_sizes(spark, d):
+    return spark.createDataFrame([(n, kernels.next_power_of_two(n)) for n in range(1, 5000)], "n int, size long")
