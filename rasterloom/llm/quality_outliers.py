@@ -98,14 +98,13 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def _cholesky(params: DataFrame) -> DataFrame:
-    """The lower factor l of each covariance, beside the means."""
+    """The lower factor l of each covariance, beside the means. Each column builds on those before it in the one select."""
+    steps = []
     for i in range(4):
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return params
+            rest = " - ".join([f"c{i}{j}", *[f"l{i}{k} * l{j}{k}" for k in range(j)]])
+            steps.append((f"sqrt(greatest({rest}, 1e-9D))" if i == j else f"({rest}) / l{j}{j}") + f" AS l{i}{j}")
+    return params.selectExpr("*", *steps)
 
 
 def _distances(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
@@ -113,14 +112,8 @@ def _distances(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
     of = ["s"] if "s" in params.columns else []
     factors = _cholesky(params).select("g", *of, *[f"m{k}" for k in range(4)], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)])
     joined = rows.join(F.broadcast(factors) if few else factors, "g", "left")
-    solved: list[Column] = []
-    for i in range(4):
-        rest = F.col(f"x{i}") - F.col(f"m{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        joined = joined.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-        solved.append(F.col(f"y{i}") * F.col(f"y{i}"))
-    return joined.withColumn("d2", solved[0] + solved[1] + solved[2] + solved[3]).select(*rows.columns, *of, "d2")
+    solved = ["(" + " - ".join([f"x{i} - m{i}", *[f"l{i}{k} * y{k}" for k in range(i)]]) + f") / l{i}{i} AS y{i}" for i in range(4)]
+    return joined.selectExpr("*", *solved, "y0 * y0 + y1 * y1 + y2 * y2 + y3 * y3 AS d2").select(*rows.columns, *of, "d2")
 
 
 def _moments(rows: DataFrame, by: list[str], factor: float) -> DataFrame:
