@@ -37,7 +37,7 @@ from rasterloom.llm.common import UPPER, batches_of, bound_batches, combine, joi
 #: Fixed stand-ins for the hashes of a text's end and beginning.
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 #: Bytes of text in a block, and for each owner.
-BLOCK_BYTES, OWNER_BYTES = 4 << 20, 4 << 20
+BLOCK_BYTES, OWNER_BYTES = 3 << 20, 4 << 20
 #: Bits that tell an owner's n-grams of two and more words apart.
 WITHIN = 40
 #: Tokens that one walk takes of a long text.
@@ -113,17 +113,17 @@ class Traversal:
         return total, after
 
 
-def build(tokens: np.ndarray, at: np.ndarray, grams: list[np.ndarray], uniques: list[np.ndarray], inverse: list[np.ndarray], counts: list[np.ndarray], n_texts: int, n_tokens: int, n_types: int, mu: float) -> tuple[Traversal, np.ndarray]:
+def build(total: int, at: np.ndarray, uniques: list[np.ndarray], inverse: list[np.ndarray], counts: list[np.ndarray], n_texts: int, n_tokens: int, n_types: int, mu: float) -> tuple[Traversal, np.ndarray]:
     """The part of the automaton that these texts can reach, and the state after each word seen alone."""
     order = len(uniques)
     base = np.log10((counts[0] + 1.0) / (n_tokens + n_types + 1.0)) if n_tokens else np.zeros(len(uniques[0]))
-    first = np.zeros(len(tokens), bool)
+    first = np.zeros(total, bool)
     first[at[:-1]] = True
     # one occurrence of each distinct n-gram tells its word, its history and its suffix
     some = []
     for n in range(order):
         at_one = np.zeros(len(uniques[n]), np.int64)
-        at_one[inverse[n]] = np.arange(len(tokens))
+        at_one[inverse[n]] = np.arange(total)
         some.append(at_one)
     # states: 0 empty; then START histories of 1 to order-1; then trained n-grams for n < order
     n_pads = order - 1 if n_texts else 0
@@ -301,8 +301,9 @@ def walk(texts: list[bytes], trains: np.ndarray, answered: pa.Table, order: int,
     mine = np.repeat(trains, np.diff(at))
     uniques, inverses, counts = [], [], []
     number = answered.column("n").to_numpy()
-    for n, (gram, bits) in enumerate(zip(grams, _key_bits(order, owner_bits), strict=True)):
-        unique, inverse = np.unique(gram >> np.uint64(64 - bits), return_inverse=True)
+    for n, bits in enumerate(_key_bits(order, owner_bits)):
+        unique, inverse = np.unique(grams.pop(0) >> np.uint64(64 - bits), return_inverse=True)
+        inverse = inverse.astype(np.int32)  # a block has far fewer n-grams
         count = np.bincount(inverse[mine], minlength=len(unique))
         told = answered.filter(pa.array(number == n))
         totals, sizes = _unpack_numbers(told.column("small"), told.column("large"))
@@ -312,7 +313,7 @@ def walk(texts: list[bytes], trains: np.ndarray, answered: pa.Table, order: int,
         uniques.append(unique)
         inverses.append(inverse)
         counts.append(count)
-    automaton, alone = build(tokens, at, grams, uniques, inverses, counts, n_texts, n_tokens, n_types, mu)
+    automaton, alone = build(len(tokens), at, uniques, inverses, counts, n_texts, n_tokens, n_types, mu)
     known = np.add.reduceat((counts[0] > 0)[inverses[0]].astype(np.int64), at[:-1])
     base = np.add.reduceat(automaton.base[inverses[0]], at[:-1])
     return {"n_tokens": np.diff(at), "n_known": known, "base_score": base, "score": traverse(automaton, inverses[0], at, alone, order)}
@@ -349,7 +350,7 @@ def blocks_of(rows: DataFrame) -> DataFrame:
 
 def _opened(rows: bytes) -> tuple[pa.Table, list[bytes], np.ndarray]:
     table = pa.ipc.open_stream(rows).read_all()
-    return table, table.column("text").to_pylist(), ~table.column("held").to_numpy()
+    return table.select(["id", "held"]), table.column("text").to_pylist(), ~table.column("held").to_numpy()
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, order: int = 3, mu: float = 50.0) -> DataFrame:

@@ -7,11 +7,11 @@ least the target recall. All pairs that meet are verified on their whole shingle
 
 Classes that meet are joined into candidate components by star edges (one per class and band, never all pairs), and each
 component's sets are verified in one task; a component with more than CHUNK_CLASSES classes or CHUNK_BYTES bytes is cut into
-chunks, and every pair of chunks is verified in a task of its own. A component of more than MOST_CHUNKS chunks, which may be
-a long chain in which few meet, is verified by (band, value) instead, with chunks only where so many classes meet in one;
-a pair that meets in several bands counts in the first. So a set is shuffled MOST_CHUNKS times, or once a band, unless more than
-CHUNK_CLASSES classes share a value with it. A task returns a count of links for each class and a spanning forest of the
-links, so rows out grow with classes, not with pairs.
+chunks, and every pair of chunks is verified in a task of its own. A component of more than MOST_CHUNKS chunks may be a long
+chain in which few meet: it is verified by (band, value) instead, with chunks only where so many classes meet in one, if
+that sends fewer rows; a pair that meets in several bands counts in the first. So work follows the pairs that meet: a set is
+shuffled once a band where few share a value with it, and else about as often as chunks of classes meet it. A task returns a
+count of links for each class and a spanning forest of the links, so rows out grow with classes, not with pairs.
 
 Words are runs of characters other than blanks; a text of one to four words has one shingle, all of it.
 Defined results: null and empty texts have no shingles, no links, and are classes of their own. Rows with one set (repeated
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import batches_of, bound_batches, combine, joined, materialize, mix, span_hashes, word_bounds
 from rasterloom.llm.components import connected_components
 
-CHUNK_CLASSES, CHUNK_BYTES = 256, 4 << 20
-#: Chunks up to which all pairs of chunks of a component are looked at.
-MOST_CHUNKS = 24
+CHUNK_CLASSES, CHUNK_BYTES = 128, 4 << 20
+#: Chunks of a component up to which it isn't asked whether verifying it by band would send less.
+MOST_CHUNKS = 8
 #: Classes up to which a Bloom filter of their ids is broadcast, and its bits an id (before the next power of two).
 FILTER_IDS, BITS_PER_ID = 4_000_000, 16
 #: Ids up to which the table of what goes is broadcast.
@@ -187,13 +187,18 @@ def _dealt(members: DataFrame, bands: int) -> DataFrame:
     n_chunks = F.greatest(F.ceil(F.col("n") / CHUNK_CLASSES), F.ceil(F.col("all_bytes") / CHUNK_BYTES)).cast("int").alias("chunks")
     chunk = F.pmod(F.xxhash64("key"), "chunks").cast("int").alias("chunk")
     names = ["root", "band", "chunks", chunk, "key", "copies", "hashes"]
-    sizes = members.groupBy("root").agg(count, size).select("root", n_chunks)
-    placed = members.join(sizes, "root").withColumn("band", F.lit(-1))
-    if not sizes.where(F.col("chunks") > MOST_CHUNKS).limit(1).count():
+    sizes = members.groupBy("root").agg(count, size).select("root", "n", n_chunks)
+    placed = members.join(sizes.drop("n"), "root").withColumn("band", F.lit(-1))
+    large = sizes.where(F.col("chunks") > MOST_CHUNKS)
+    if not large.limit(1).count():
         return placed.select(*names)
-    wide = placed.where(F.col("chunks") > MOST_CHUNKS).select("key", "copies", "bytes", "hashes", _banded(bands).alias("b")).select("key", "copies", "bytes", "hashes", "b.band", F.col("b.value").alias("root"))
-    meet = wide.groupBy("band", "root").agg(count, size).where("n > 1").select("band", "root", n_chunks)
-    return placed.where(F.col("chunks") <= MOST_CHUNKS).select(*names).unionByName(wide.join(meet, ["band", "root"]).select(*names))
+    wide = members.join(large.select("root"), "root").select("root", "key", "copies", "bytes", "hashes", _banded(bands).alias("b"))
+    wide = wide.select(F.col("root").alias("component"), "key", "copies", "bytes", "hashes", "b.band", F.col("b.value").alias("root"))
+    meet = wide.groupBy("component", "band", "root").agg(count, size).where("n > 1").select("component", "band", "root", "n", n_chunks)
+    rows = meet.groupBy("component").agg(F.sum(F.col("n") * F.col("chunks")).alias("rows"))
+    cheaper = materialize(large.join(rows, F.col("root") == F.col("component")).where(F.col("rows") < F.col("n") * F.col("chunks")).select("component"), "join-by-band")
+    whole = placed.join(cheaper, F.col("root") == F.col("component"), "left_anti").select(*names)
+    return whole.unionByName(wide.join(cheaper, "component", "left_semi").join(meet.drop("n"), ["component", "band", "root"]).select(*names))
 
 
 def _classes(docs: DataFrame, *, id_col: str, text_col: str, size: int = 5, threshold: float = 0.8, target_recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
