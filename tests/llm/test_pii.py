@@ -1,8 +1,8 @@
 """Personal data: base spans against a plain scan, planted cases, model behaviour and redaction."""
 
 import hashlib
+import os
 import re
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,21 +151,28 @@ def test_redaction_writes_what_the_spans_say(spark):
     assert len(found[91]) >= 12
 
 
+def cpu_seconds(spark):
+    """CPU time of Spark's JVM, which what else runs on the machine doesn't lengthen."""
+    with open(f"/proc/{spark._jvm.java.lang.ProcessHandle.current().pid()}/stat") as stat:
+        fields = stat.read().rpartition(")")[2].split()
+    return (int(fields[11]) + int(fields[12])) / os.sysconf("SC_CLK_TCK")
+
+
 @pytest.mark.parametrize("word", ["12, ", "a@b.cc ", "1.2.3.4 "])
 def test_cost_follows_the_length_of_a_text(spark, word):
-    """Many matches in one text: four times the text costs about four times as long, and 100,000 matches a matter of seconds."""
+    """Many matches in one text: four times the text costs about four times as much, and 100,000 matches a matter of seconds."""
     docs = spark.createDataFrame([(1, "a@b.cc 1.2.3.4")], SCHEMA)
     model = pii.fit(docs)
     took = {}
-    for n in (25_000, 100_000):
+    for n in (1_000, 25_000, 100_000):  # the first is for compiling
         text = spark.createDataFrame([(1, word * n)], SCHEMA)
-        began = time.time()
+        began = cpu_seconds(spark)
         row = pii.find(text, model).first()
         clean = pii.redact(text, model).first().text
-        took[n] = time.time() - began
+        took[n] = cpu_seconds(spark) - began
         assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (n * (word[0] == "a"), n * (word[1] == "."), 0, 0)
         assert clean == {"a": "[EMAIL] ", "1": "[IP] " if word[1] == "." else word}[word[0]] * n
-    assert took[100_000] < 25 and took[100_000] < 8 * took[25_000] + 2, took
+    assert took[100_000] < 60 and took[100_000] < 8 * took[25_000] + 4, took
 
 
 def test_redact(spark):
