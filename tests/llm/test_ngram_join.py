@@ -99,6 +99,8 @@ def test_a_long_chain_sends_each_set_once_a_band_at_most(spark):
     dealt = ngram_join._dealt(members, bands)
     assert dealt.groupBy("key").agg(F.sum("chunks").alias("n")).agg(F.max("n")).first()[0] <= 2
     assert dealt.groupBy("root", "band").count().agg(F.max("count")).first()[0] == 2
+    together = members.withColumn("hashes", F.unhex(F.lit("00" * 8 * bands)))  # all meet in all bands: the component as a whole sends less
+    assert ngram_join._dealt(together.limit(3000), bands).select("band", "chunks").distinct().collect() == [(-1, -(-3000 // ngram_join.CHUNK_CLASSES))]
 
 
 def test_whole_table(spark):
