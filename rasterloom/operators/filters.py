@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import kernels, planes
-from rasterloom.operators.frames import clamp, map_planes, map_rows, plane_rows
+from rasterloom.operators.frames import clamp, lines_to_pixels, map_lines, map_planes, map_rows, plane_rows
 
 
 def gaussian_noise(images: DataFrame, variance: float, seed: int = 1) -> DataFrame:
@@ -106,7 +106,25 @@ def morphology(images: DataFrame, aperture, operation: str) -> DataFrame:
 
 def rotate(images: DataFrame, degrees: float, method: str = "bilinear", background: int = 0) -> DataFrame:
     planes.rotated_box(1, 1, degrees)  # so that a bad angle fails here
-    return map_planes(images, lambda p: planes.rotate(p, degrees, method, background))
+
+    def turn(plane: np.ndarray) -> np.ndarray:
+        height, width = planes.rotated_box(*plane.shape, degrees)[2:]
+        if height * width > MOST_BYTES:
+            raise ValueError(f"the turned canvas of {width} x {height} is larger than a value may be: take rotate_to_pixels")
+        return planes.rotate(plane, degrees, method, background)
+
+    return map_planes(images, turn)
+
+
+#: Bytes of the largest plane that a row holds.
+MOST_BYTES = (1 << 31) - 16
+
+
+def rotate_to_pixels(images: DataFrame, degrees: float, method: str = "bilinear", background: int = 0) -> DataFrame:
+    """pixels of the turned images. No task holds a canvas, which for a long narrow image has the square of its length."""
+    planes.rotated_box(1, 1, degrees)
+    lines = map_lines(images, lambda p: (planes.rotated_box(*p.shape, degrees)[3], planes.rotated_lines(p, degrees, method, background)))
+    return lines_to_pixels(lines, background)
 
 
 def crop_or_pad(images: DataFrame, height: int, width: int, background: int = 0) -> DataFrame:

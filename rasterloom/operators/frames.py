@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 IMAGES = "image_id string, width int, height int, pixels binary"
 PIXELS = "image_id string, y int, x int, v smallint"
+#: Lines of images: `line` holds the values from x = first on, everything else up to the width is one background.
+LINES = "image_id string, y int, width int, first int, line array<smallint>"
 PIXELS_RGB = "image_id string, y int, x int, r smallint, g smallint, b smallint"
 
 
@@ -114,6 +116,46 @@ def to_pixels(images: DataFrame) -> DataFrame:
     return map_rows(images, spread, "y int, x int, v smallint")
 
 
+def map_lines(images: DataFrame, function: Callable[[np.ndarray], tuple[int, Iterable[tuple[np.ndarray, ...]]]]) -> DataFrame:
+    """lines: the function gives a width and bands of (y, first x, number of values; values one after the other) for each plane."""
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def hand_on() -> pa.RecordBatch:
+            y, width, first, count, values = (np.concatenate([h[i] for h in held]) for i in range(1, 6))
+            ids = pa.array([h[0] for h in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), [len(h[1]) for h in held])))
+            held.clear()
+            line = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(values, pa.int16()))
+            return pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int32()) for c in (y, width, first)), line], ["image_id", "y", "width", "first", "line"])
+
+        cells = 0
+        for batch in batches:
+            for name, plane in planes_of(batch):
+                width, bands = function(plane)
+                for y, first, count, values in bands:
+                    held.append((name, y, np.full(len(y), width), first, count, values))
+                    cells += len(y) + len(values)
+                    if cells >= _GATHER_ROWS:
+                        yield hand_on()
+                        cells = 0
+        if held:
+            yield hand_on()
+
+    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, LINES)
+
+
+def deal_out(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that become many more, over all tasks: with a number given, small partitions aren't put together again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def lines_to_pixels(lines: DataFrame, background: int = 0) -> DataFrame:
+    """pixels of lines. Only lines are shuffled; places are made behind it."""
+    places = deal_out(lines, "image_id", "y").select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    return places.select("image_id", "y", "x", F.coalesce(F.get("line", F.col("x") - F.col("first")), F.lit(background)).cast("smallint").alias("v"))
+
+
 def plane_rows(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
     """Columns y, x and the named values of a plane of any numbers."""
     y, x = np.divmod(np.arange(values.size, dtype=np.int32), values.shape[1])

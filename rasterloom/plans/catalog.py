@@ -397,7 +397,7 @@ def rotation_sql(raster: str, degrees: float, method: str) -> str:
 
 @query(rotation_sql(ORDERS, 30, "nearest"))
 def rotate_nearest(spark, d):
-    return to_pixels(filters.rotate(to_images(orders_raster(spark, d)), 30, "nearest"))
+    return filters.rotate_to_pixels(to_images(orders_raster(spark, d)), 30, "nearest")
 
 
 @query(rotation_sql(TILES, 30, "bilinear"))

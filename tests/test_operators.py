@@ -5,11 +5,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.functions import kernels, planes
 from rasterloom.operators import blocks, components, cooccurrence, filters, fourier, quality, statistics
 from rasterloom.operators.frames import IMAGES, PIXELS, to_images, to_pixels
-from rasterloom.plans import experiments
+from rasterloom.plans import catalog, experiments
 from rasterloom.sources import documents
 
 RNG = np.random.default_rng(11)
@@ -96,6 +97,35 @@ def test_rotation_forms_agree(spark, method):
     assert got == wanted
 
 
+@pytest.mark.parametrize("method", ["nearest", "bilinear", "bicubic"])
+def test_rotation_without_a_canvas(spark, method):
+    images = images_of(spark, a=RNG.integers(0, 256, (9, 7)), one=np.array([[3]]), long=RNG.integers(0, 256, (300, 2)))
+    for degrees in (37.0, 90, 0, -45, 180.0000001):
+        got = filters.rotate_to_pixels(images, degrees, method, 5)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, to_pixels(filters.rotate(images, degrees, method, 5)).collect()))
+
+
+def long_orders(tmp_path, spark):
+    """Orders that make an image of one column, whose turned canvas has more places than a value may have bytes; places of the image there."""
+    n = 70_600
+    spark.range(n).selectExpr("id * 100 AS o_orderkey", "200.5D AS o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    height, width = planes.rotated_box(n, 1, 30)[2:]
+    assert height * width > 1 << 31
+    return height * width, sum(int((v > 0).sum()) for *_, v in planes.rotated_lines(np.full((n, 1), 200, np.uint8), 30, "nearest"))
+
+
+@pytest.mark.parametrize("name", ["rotate_nearest"])
+def test_rotation_of_a_long_image(spark, tmp_path, name):
+    places, shown = long_orders(tmp_path, spark)
+    r = catalog.QUERIES[name](spark, str(tmp_path)).agg(F.count("*").alias("n"), F.sum("v").alias("v")).first()
+    assert (r.n, r.v) == (places, 200 * shown)
+
+
+def test_canvas_that_no_row_holds(spark):
+    with pytest.raises(Exception, match="rotate_to_pixels"):
+        filters.rotate(images_of(spark, long=np.ones((70_600, 1))), 30, "nearest").collect()
+
+
 def test_spectrum_of_pixels(spark):
     images = images_of(spark, a=RNG.integers(0, 256, (9, 12)))
     key = lambda df: {(r.v, r.u): complex(r.re, r.im) for r in df.collect()}
