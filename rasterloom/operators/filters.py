@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import kernels, planes
-from rasterloom.operators.frames import clamp, lines_to_pixels, map_lines, map_planes, map_rows, plane_rows
+from rasterloom.operators.frames import clamp, deal_out, lines_to_pixels, map_lines, map_planes, map_rows, plane_rows
 
 
 def gaussian_noise(images: DataFrame, variance: float, seed: int = 1) -> DataFrame:
@@ -193,8 +193,11 @@ def rotate_pixels(pixels: DataFrame, degrees: float, method: str = "bilinear", b
     """pixels turned about their image's centre: each place of the output asks for the 1, 4 or 16 source pixels around it.
 
     A place whose source lies outside, and taps outside, are background. The sizes of the output are worked out per image.
+    Only places over the image ask; the canvas of a long narrow image has the square of its length, and isn't shuffled.
     """
     planes.rotated_box(1, 1, degrees)
+    if method not in ("nearest", "bilinear", "bicubic"):
+        raise ValueError("the method must be nearest, bilinear or bicubic")
     turn = math.radians(degrees)
     c, s = F.lit(math.cos(turn)), F.lit(math.sin(turn))
     size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
@@ -203,18 +206,24 @@ def rotate_pixels(pixels: DataFrame, degrees: float, method: str = "bilinear", b
     ys = [-(a * half_w) * s + b * half_h * c for a in (-1, 1) for b in (-1, 1)]
     box = size.select("image_id", "w", "h", F.least(*xs).alias("left"), F.least(*ys).alias("top"), *[F.greatest(F.lit(1), F.ceil(F.greatest(*v) - F.least(*v) - 1e-9)).cast("int").alias(n) for n, v in (("ow", xs), ("oh", ys))])
     lines = box.select("*", F.explode(F.sequence(F.lit(0), F.col("oh") - 1)).alias("y"))
+    near, far = zip(*planes.turned_limits(math.cos(turn), math.sin(turn), F.col("top") + F.col("y") + 0.5, F.col("h"), F.col("w")), strict=True)
+    on_canvas = lambda v: F.greatest(F.lit(0), F.least(F.col("ow"), v)).cast("int")
+    first, last = F.floor(F.greatest(F.lit(-math.inf), *near) - F.col("left") - 0.5), F.ceil(F.least(F.lit(math.inf), *far) - F.col("left") + 0.5)
     # lines are dealt out before they are spread, so that one image's places don't begin in one task
-    grid = lines.repartition("image_id", "y").select("*", F.explode(F.sequence(F.lit(0), F.col("ow") - 1)).alias("x"))
+    dealt = deal_out(lines.select("*", on_canvas(first).alias("first"), on_canvas(last).alias("last")), "image_id", "y")
     tx, ty = F.col("left") + F.col("x") + 0.5, F.col("top") + F.col("y") + 0.5
-    at = grid.select("image_id", "y", "x", "w", "h", (tx * c - ty * s + F.col("w") / 2 - 0.5).alias("sx"), (tx * s + ty * c + F.col("h") / 2 - 0.5).alias("sy"))
+    sx, sy = tx * c - ty * s + F.col("w") / 2 - 0.5, tx * s + ty * c + F.col("h") / 2 - 0.5
+    if method == "nearest":
+        sx, sy = F.floor(sx + 0.5), F.floor(sy + 0.5)
+    over = (F.col("x") >= F.col("first")) & (F.col("x") < F.col("last")) & (sx >= 0) & (sy >= 0) & (sx <= F.col("w") - 1) & (sy <= F.col("h") - 1)
+    beside = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("ow") - 1)).alias("x")).where(~over).select("image_id", "y", "x", F.lit(background).cast("smallint").alias("v"))
+    grid = dealt.where("first < last").select("*", F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("x")).where(over)
+    at = grid.select("image_id", "y", "x", sx.alias("sx"), sy.alias("sy"))
     source = pixels.select("image_id", F.col("y").alias("row"), F.col("x").alias("col"), F.col("v").cast("int").alias("v"))
     if method == "nearest":
-        asked = at.select("image_id", "y", "x", F.floor(F.col("sy") + 0.5).cast("int").alias("row"), F.floor(F.col("sx") + 0.5).cast("int").alias("col"))
-        return asked.join(source, ["image_id", "row", "col"], "left").select("image_id", "y", "x", F.coalesce("v", F.lit(background)).cast("smallint").alias("v"))
-    if method not in ("bilinear", "bicubic"):
-        raise ValueError("the method must be nearest, bilinear or bicubic")
+        asked = at.select("image_id", "y", "x", F.col("sy").cast("int").alias("row"), F.col("sx").cast("int").alias("col"))
+        return asked.join(source, ["image_id", "row", "col"], "left").select("image_id", "y", "x", F.coalesce("v", F.lit(background)).cast("smallint").alias("v")).unionAll(beside)
     reach = range(0, 2) if method == "bilinear" else range(-1, 3)
-    inside = (F.col("sx") >= 0) & (F.col("sy") >= 0) & (F.col("sx") <= F.col("w") - 1) & (F.col("sy") <= F.col("h") - 1)
 
     def weights(t: Column) -> list[Column]:
         if method == "bilinear":
@@ -223,12 +232,11 @@ def rotate_pixels(pixels: DataFrame, degrees: float, method: str = "bilinear", b
 
     across, down = weights(F.col("sx") - F.floor("sx")), weights(F.col("sy") - F.floor("sy"))
     taps = F.array(*[F.struct((F.floor("sy") + b).cast("int").alias("row"), (F.floor("sx") + a).cast("int").alias("col"), (across[i] * down[j]).alias("weight")) for j, b in enumerate(reach) for i, a in enumerate(reach)])
-    outside = F.array(F.struct(F.lit(-1).alias("row"), F.lit(-1).alias("col"), F.lit(1.0).alias("weight")))
-    asked = at.select("image_id", "y", "x", F.explode(F.when(inside, taps).otherwise(outside)).alias("t")).select("image_id", "y", "x", "t.*")
+    asked = at.select("image_id", "y", "x", F.explode(taps).alias("t")).select("image_id", "y", "x", "t.*")
     met = asked.join(source, ["image_id", "row", "col"], "left")
     total = F.sum(F.col("weight") * F.coalesce("v", F.lit(background)))
     # sums of products in any order: what only their last bits differ in is one value before it is rounded
-    return met.groupBy("image_id", "y", "x").agg(total.alias("v")).select("image_id", "y", "x", clamp(F.round("v", 9)).alias("v"))
+    return met.groupBy("image_id", "y", "x").agg(total.alias("v")).select("image_id", "y", "x", clamp(F.round("v", 9)).alias("v")).unionAll(beside)
 
 
 def count_edges(pixels: DataFrame) -> DataFrame:

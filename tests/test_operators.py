@@ -114,13 +114,38 @@ def long_orders(tmp_path, spark):
     return height * width, sum(int((v > 0).sum()) for *_, v in planes.rotated_lines(np.full((n, 1), 200, np.uint8), 30, "nearest"))
 
 
-@pytest.mark.parametrize("name", ["rotate_nearest"])
+@pytest.mark.parametrize("name", ["rotate_nearest", "rotate_nearest_pixels"])
 def test_rotation_of_a_long_image(spark, tmp_path, name):
     places, shown = long_orders(tmp_path, spark)
     r = catalog.QUERIES[name](spark, str(tmp_path)).agg(F.count("*").alias("n"), F.sum("v").alias("v")).first()
     assert (r.n, r.v) == (places, 200 * shown)
 
 
+def shuffled(spark) -> dict[int, int]:
+    """Rows that each stage so far has written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+    return {(stage := stages.apply(i)).stageId(): stage.shuffleWriteRecords() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize(("method", "taps"), [("nearest", 1), ("bilinear", 4)])
+def test_only_places_over_the_image_are_shuffled(spark, method, taps):
+    n = 3000
+    height, width = planes.rotated_box(n, 2, 30)[2:]
+    pixels = spark.range(2 * n).selectExpr("'long' AS image_id", "cast(id div 2 AS int) AS y", "cast(id % 2 AS int) AS x", "cast(7 AS smallint) AS v")
+    before = shuffled(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert filters.rotate_pixels(pixels, 30, method, 3).agg(F.count("*")).first()[0] == height * width > 3_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    rows = sum(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert 2 * n < rows < 2 * height + (2 + taps) * 4 * n
+
+
 def test_canvas_that_no_row_holds(spark):
     with pytest.raises(Exception, match="rotate_to_pixels"):
         filters.rotate(images_of(spark, long=np.ones((70_600, 1))), 30, "nearest").collect()
