@@ -27,7 +27,8 @@ UNDETERMINED = "und"
 HASHES = 3
 #: Languages at most, the most frequent ones (rarer values of a dirty column teach nothing); a slot has a 64-bit word for each 64.
 MOST_LANGUAGES = 1024
-_CHUNK = 1 << 20
+#: Bytes of text judged together, at some fifty times as much memory, in each of an executor's Python workers.
+_CHUNK = 1 << 18
 
 #: ASCII that isn't a letter becomes a blank; bytes of other characters stay.
 _FOLD = np.arange(256, dtype=np.uint8)

@@ -40,7 +40,8 @@ MOST_CHUNKS = 8
 FILTER_IDS, BITS_PER_ID = 4_000_000, 16
 #: Ids up to which the table of what goes is broadcast.
 BROADCAST_IDS = 1_000_000
-_TEXT_CHUNK = 2 << 20
+#: Bytes of text hashed together, at some forty times as much memory, in each of an executor's Python workers.
+_TEXT_CHUNK = 1 << 18
 
 
 def choose_bands(threshold: float, target_recall: float, most_hashes: int = 128) -> tuple[int, int]:

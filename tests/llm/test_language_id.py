@@ -1,5 +1,6 @@
 """Language ID: held-out accuracy, the filters' promises, and edge cases."""
 
+import tracemalloc
 import unicodedata
 
 import numpy as np
@@ -151,3 +152,14 @@ def test_texts_with_letters_get_a_learned_language(spark):
     got = {r.k: (r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()}
     assert [got[k][0] for k in range(8)] == ["en", "en", "ru", "ru", "en", "und", "und", "en"]
     assert all(got[k][1] == 0 for k in range(7)) and got[7][1] > 0
+
+
+def test_a_batch_takes_little_memory_beside_itself():
+    texts = [f"text {k} " + "of words that go on " * 200 for k in range(1000)]
+    model = {"langs": ["en", "fr"], "filter": np.full((1 << 8, 1), 3, np.uint64), "rates": np.zeros(2)}
+    tracemalloc.start()
+    try:
+        language_id.score_texts(model, texts)
+        assert tracemalloc.get_traced_memory()[1] < 30e6  # 4 MB of texts
+    finally:
+        tracemalloc.stop()

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -168,3 +169,13 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges + edges[:3], "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_batch_takes_little_memory_beside_itself():
+    texts = [f"text {k} ".encode() + b"of words that go on " * 200 for k in range(1000)]
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in ngram_join.shingle_sets(texts, 5)) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 30e6  # 4 MB of texts
+    finally:
+        tracemalloc.stop()
